@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handed to the library at once; a longer text is split.
 BATCH_BYTES = 1 << 19
+#: Characters of the longest piece that is remembered, and pieces remembered by each Python worker.
+SHORT, REMEMBERED = 48, 800_000
 #: A place where the byte-level BPE's pre-tokenizer always starts a new word: before one space that stands between two
 #: characters which are no white space. No added token has a space in it, so none is cut either.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: Without two characters of white space in a row, every space and every line feed begins a word.
+RUN = re.compile(r"\s\s")
 
 
 def tokenizer_path(name: str) -> str:
@@ -26,19 +30,13 @@ def tokenizer_path(name: str) -> str:
 
 
 @lru_cache(maxsize=2)
-def load(path: str):
-    """The tokenizer of a .json file; one copy in each Python worker. Threads are Spark's to give."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+def load(path: str) -> Encoder:
+    """The encoder of a .json file; one in each Python worker."""
+    return Encoder(path)
 
-    got = Tokenizer.from_file(path)
-    got.no_truncation()
-    got.no_padding()
-    return got
 
-
-def pieces(text: str, most: int = BATCH_BYTES) -> Iterator[str]:
-    """Cut a text at safe places into pieces of about `most` characters; without such a place it stays whole."""
+def windows(text: str, most: int = BATCH_BYTES) -> Iterator[str]:
+    """Cut a text at safe places into parts of about `most` characters; without such a place it stays whole."""
     start = 0
     while len(text) - start > most:
         found = SAFE.search(text, start + most - 1)
@@ -49,39 +47,75 @@ def pieces(text: str, most: int = BATCH_BYTES) -> Iterator[str]:
     yield text[start:] if start else text
 
 
-def encode_all(texts: Iterator[str], path: str, most: int = BATCH_BYTES) -> Iterator[list]:
-    """For each text the encodings of its pieces, in order. Pieces are sent to the library in batches balanced by
-    bytes; at any time one batch and the encodings of one text are held."""
-    tokenizer = load(path)
-    waiting: list[tuple[int, str]] = []  # (text, piece)
-    size = 0
-
-    def flush() -> Iterator[tuple[int, object]]:
-        got = tokenizer.encode_batch_fast([p for _, p in waiting], add_special_tokens=False)
-        yield from zip([k for k, _ in waiting], got, strict=True)
-        waiting.clear()
-
-    def stream() -> Iterator[tuple[int, object]]:
-        nonlocal size
-        for k, text in enumerate(texts):
-            for piece in pieces(text, most):
-                waiting.append((k, piece))
-                size += len(piece) + 64
-                if size >= most:
-                    yield from flush()
-                    size = 0
-        yield from flush()
-
-    at, own = 0, []
-    seen = False
-    for k, encoding in stream():
-        seen = True
-        if k != at:
-            yield own
-            at, own = k, []
-        own.append(encoding)
-    if seen:
-        yield own
+class Encoder:
+    """Token ids of whole texts. A text is cut at its safe places; what the library gives for a short piece is
+    remembered, so that it encodes frequent words once. Threads are Spark's to give."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.library = Tokenizer.from_file(path)
+        self.library.no_truncation()
+        self.library.no_padding()
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, pieces: list[str]) -> dict[str, bytes]:
+        """The ids of pieces, in batches of BATCH_BYTES."""
+        out, batch, size = {}, [], 0
+        for k, piece in enumerate(pieces, 1):
+            batch.append(piece)
+            size += len(piece) + 16
+            if size >= BATCH_BYTES or k == len(pieces):
+                texts = [p if p[:1] == "\n" else " " + p for p in batch]
+                for p, got in zip(batch, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                    out[p] = np.array(got.ids, "<u4").tobytes()
+                batch, size = [], 0
+        return out
+
+    def _head(self, text: str) -> bytes:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+
+    def _join(self, parts: list[list[str]]) -> list[bytes]:
+        """The ids of texts cut in pieces. What isn't known of all of them goes to the library together."""
+        new = set().union(*(pieces[1:] for pieces in parts)).difference(self.known)
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known.clear()
+            new = set().union(*(pieces[1:] for pieces in parts))
+        self.known.update(self._learn(list(new)))
+        ids = self.known.__getitem__
+        out = [self._head(pieces[0]) + b"".join(map(ids, pieces[1:])) for pieces in parts]
+        for piece in new:
+            if len(piece) > SHORT:
+                del self.known[piece]
+        return out
+
+    def encode(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit numbers."""
+        return b"".join(self._join([cut(part)])[0] for part in windows(text))
+
+    def encode_many(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text, BATCH_BYTES of texts at a time; a longer one goes alone, by windows."""
+        at = 0
+        while at < len(texts):
+            to, size = at, 0
+            while to < len(texts) and size + len(texts[to]) <= BATCH_BYTES:
+                size += len(texts[to])
+                to += 1
+            if to > at:
+                yield from self._join([cut(text) for text in texts[at:to]])
+                at = to
+            else:
+                yield self.encode(texts[at])
+                at += 1
+
+
+def cut(text: str) -> list[str]:
+    """The text in pieces that the pre-tokenizer keeps apart. The first may be empty; each other one stands for itself
+    if it begins with a line feed, and else for itself after one space."""
+    if not RUN.search(text):
+        return text.replace("\n", " \n").split(" ")
+    return SAFE.split(text)
 
 
 def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFrame:
@@ -93,9 +127,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 1024) -> DataFram
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = load(tokenizer)
         for batch in batches:
-            texts = (t.as_py() or "" for t in batch.column("text"))
-            n = np.fromiter((sum(map(len, own)) for own in encode_all(texts, tokenizer)), np.int64)
+            n = np.fromiter((len(ids) // 4 for ids in encoder.encode_many(batch.column("text").to_pylist())), np.int64, len(batch))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("n_bytes"), pa.array(n), pa.array(n > limit)],
                 names=["doc_id", "n_bytes", "n_tokens", "over_limit"],
