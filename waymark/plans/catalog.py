@@ -2,6 +2,446 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from waymark.functions import geo
+from waymark.operators import joins, rollups, scoring, sequences
+from waymark.streaming.triggers import entry_events
+
+from .views import VALUES, load, oracle
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = ""
+FLAGSHIP = "agg_rollup_by_mode"
+LAT0 = 35.6
+R = "6371000e0"
+
+
+def query(sql: str | None = None, *views: str):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = oracle(sql, *views)
+        return f
+
+    return add
+
+
+def _legs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with the one whose id is greater by one, in a column of plain coordinates."""
+    f = load(spark, sf_dir, "v_feature").select("id", "lon", "lat")
+    g = f.select((F.col("id") - 1).alias("id"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
+    return f.join(g, "id")
+
+
+LEGS = "v_feature a JOIN v_feature b ON b.id = a.id + 1"
+HAVERSINE = f"2e0 * {R} * asin(least(1e0, sqrt(power(sin((radians(b.lat) - radians(a.lat)) / 2e0), 2) + cos(radians(a.lat)) * cos(radians(b.lat)) * power(sin(radians(b.lon - a.lon) / 2e0), 2))))"
+BEARING = "degrees(atan2(sin(radians(b.lon - a.lon)) * cos(radians(b.lat)), cos(radians(a.lat)) * sin(radians(b.lat)) - sin(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon))))"
+
+
+@query(f"SELECT a.id, round({HAVERSINE}, 1) AS distance_m FROM {LEGS}", "v_feature")
+def geo_haversine(spark, sf_dir):
+    d = geo.haversine_m(*[F.col(c) for c in ("lon", "lat", "lon2", "lat2")])
+    return _legs(spark, sf_dir).select("id", F.round(d, 1).alias("distance_m"))
+
+
+@query(f"SELECT id, round(sqrt(power(radians(d) * {R} * cos(radians({LAT0}e0)), 2) + power(radians(e) * {R}, 2)), 1) AS distance_m FROM (SELECT a.id, b.lon - a.lon AS d, b.lat - a.lat AS e FROM {LEGS})", "v_feature")
+def geo_equirect(spark, sf_dir):
+    d = geo.equirect_m(*[F.col(c) for c in ("lon", "lat", "lon2", "lat2")], F.lit(LAT0))
+    return _legs(spark, sf_dir).select("id", F.round(d, 1).alias("distance_m"))
+
+
+@query(f"SELECT id, round(g - 360e0 * floor(g / 360e0), 5) AS bearing FROM (SELECT a.id, {BEARING} AS g FROM {LEGS})", "v_feature")
+def geo_bearing(spark, sf_dir):
+    return _legs(spark, sf_dir).select("id", F.round(geo.bearing_deg(*[F.col(c) for c in ("lon", "lat", "lon2", "lat2")]), 5).alias("bearing"))
+
+
+@query(
+    f"""SELECT id, round(d, 4) AS turn, CASE WHEN abs(d) < 30 THEN 'straight' WHEN abs(d) < 45 THEN 'slight' WHEN abs(d) < 120 THEN 'turn' WHEN abs(d) < 160 THEN 'sharp' ELSE 'uturn' END AS kind
+    FROM (SELECT id, (h - g + 180e0) - 360e0 * floor((h - g + 180e0) / 360e0) - 180e0 AS d FROM (SELECT id, g, lead(g) OVER (ORDER BY id) AS h FROM
+    (SELECT a.id, {BEARING} AS g FROM {LEGS})) WHERE h IS NOT NULL)""",
+    "v_feature",
+)
+def geo_turns(spark, sf_dir):
+    legs = _legs(spark, sf_dir).select("id", geo.bearing_deg(*[F.col(c) for c in ("lon", "lat", "lon2", "lat2")]).alias("g"))
+    after = legs.select((F.col("id") - 1).alias("id"), F.col("g").alias("h"))
+    turn = geo.turn_deg(F.col("g"), F.col("h"))
+    return legs.join(after, "id").select("id", F.round(turn, 4).alias("turn"), geo.turn_class(turn).alias("kind"))
+
+
+@query(
+    f"""SELECT id, round(degrees(radians(lon) + atan2(sin(radians(t)) * sin(r) * cos(radians(lat)), cos(r) - sin(radians(lat)) * sin(b))), 6) AS lon2, round(degrees(b), 6) AS lat2 FROM
+    (SELECT id, lon, lat, t, r, asin(sin(radians(lat)) * cos(r) + cos(radians(lat)) * sin(r) * cos(radians(t))) AS b FROM
+    (SELECT id, lon, lat, CAST(id % 360 AS DOUBLE) AS t, 500e0 / {R} AS r FROM v_feature))""",
+    "v_feature",
+)
+def geo_destination(spark, sf_dir):
+    lon, lat = geo.destination(F.col("lon"), F.col("lat"), (F.col("id") % 360).cast("double"), F.lit(500.0))
+    return load(spark, sf_dir, "v_feature").select("id", F.round(lon, 6).alias("lon2"), F.round(lat, 6).alias("lat2"))
+
+
+@query(
+    """SELECT id, CAST(floor((lon + 180e0) / 360e0 * 16384e0) AS BIGINT) AS tile_x,
+    CAST(floor((1e0 - ln(tan(radians(lat)) + 1e0 / cos(radians(lat))) / pi()) / 2e0 * 16384e0) AS BIGINT) AS tile_y FROM v_feature""",
+    "v_feature",
+)
+def geo_tiles(spark, sf_dir):
+    x, y = geo.tile(F.col("lon"), F.col("lat"), 14)
+    return load(spark, sf_dir, "v_feature").select("id", x.alias("tile_x"), y.alias("tile_y"))
+
+
+@query(
+    f"""SELECT id, round(sqrt(power(px - (ax + t * dx), 2) + power(py - (ay + t * dy), 2)), 1) AS distance_m FROM (SELECT *, greatest(0e0, least(1e0, ((px - ax) * dx + (py - ay) * dy) / (dx * dx + dy * dy))) AS t FROM
+    (SELECT a.id, radians(c.lon) * k AS px, radians(c.lat) * {R} AS py, radians(a.lon) * k AS ax, radians(a.lat) * {R} AS ay, radians(b.lon - a.lon) * k AS dx, radians(b.lat - a.lat) * {R} AS dy
+    FROM {LEGS} JOIN v_feature c ON c.id = a.id + 2 CROSS JOIN (SELECT {R} * cos(radians({LAT0}e0)) AS k)))""",
+    "v_feature",
+)
+def geo_point_segment(spark, sf_dir):
+    rows = _legs(spark, sf_dir)
+    third = load(spark, sf_dir, "v_feature").select((F.col("id") - 2).alias("id"), F.col("lon").alias("lon3"), F.col("lat").alias("lat3"))
+    p = [c for k in ("3", "", "2") for c in geo.local_xy(F.col(f"lon{k}"), F.col(f"lat{k}"), F.lit(LAT0))]
+    return rows.join(third, "id").select("id", F.round(geo.point_segment_m(*p), 1).alias("distance_m"))
+
+
+CELL_JOIN = f"""SELECT a.id AS left_id, b.id AS right_id, round(sqrt(power(radians(b.lon - a.lon) * {R} * cos(radians({LAT0}e0)), 2) + power(radians(b.lat - a.lat) * {R}, 2)), 2) AS distance_m"""
+
+
+@query(f"SELECT * FROM ({CELL_JOIN} FROM v_feature a JOIN v_feature b ON a.id < b.id AND abs(a.lat - b.lat) < 0.002e0) WHERE distance_m <= 160e0", "v_feature")
+def join_within_distance(spark, sf_dir):
+    """The self-join is on cells; a pair is listed once."""
+    f = load(spark, sf_dir, "v_feature")
+    return joins.within_distance(f, f, 160.0, LAT0).filter("left_id < right_id").select("left_id", "right_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(
+    f"""SELECT f.id AS left_id, n.right_id, n.distance_m FROM v_feature f LEFT JOIN (SELECT left_id, right_id, distance_m, row_number() OVER (PARTITION BY left_id ORDER BY distance_m, right_id) AS k FROM
+    ({CELL_JOIN} FROM v_feature a JOIN v_node b ON abs(a.lat - b.lat) < 0.004e0) WHERE distance_m <= 300e0) n ON n.left_id = f.id AND n.k = 1""",
+    "v_feature", "v_node",
+)
+def join_snap_nearest(spark, sf_dir):
+    out = joins.nearest(load(spark, sf_dir, "v_feature"), load(spark, sf_dir, "v_node"), 300.0, LAT0)
+    return out.select("left_id", "right_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+@query(
+    f"SELECT left_id, count(*) AS n, min(distance_m) AS nearest_m FROM ({CELL_JOIN} FROM v_node a JOIN v_feature b ON abs(a.lat - b.lat) < 0.004e0) WHERE distance_m <= 250e0 GROUP BY left_id", "v_feature", "v_node"
+)
+def join_radius_counts(spark, sf_dir):
+    pairs = joins.within_distance(load(spark, sf_dir, "v_node"), load(spark, sf_dir, "v_feature"), 250.0, LAT0)
+    return pairs.groupBy("left_id").agg(F.count(F.lit(1)).alias("n"), F.min(F.round("distance_m", 2)).alias("nearest_m"))
+
+
+RULES = [(k, v, o, f"layer{o % 4}", o / 8) for o, (k, v) in enumerate([("historic", "*"), ("historic", "castle"), ("tourism", "viewpoint"), ("tourism", "*"), ("historic", "castle"), ("amenity", "cafe"), ("tourism", "*"), ("natural", "peak")])]
+RULES_SQL = "(VALUES " + ", ".join(f"('{k}', '{v}', {o}, '{n}', {w}e0)" for k, v, o, n, w in RULES) + ") AS r(key, value, ord, layer, weight)"
+
+
+@query(
+    f"""SELECT f.id, x.layer, x.weight FROM v_feature f LEFT JOIN (SELECT id, r.layer, r.weight, row_number() OVER (PARTITION BY id ORDER BY CASE WHEN r.value = '*' THEN 1 ELSE 0 END,
+    CASE WHEN r.value = '*' THEN r.ord ELSE -r.ord END) AS k FROM v_feature g JOIN {RULES_SQL} ON g.key = r.key AND (r.value = '*' OR r.value = g.value)) x ON x.id = f.id AND x.k = 1""",
+    "v_feature",
+)
+def join_rule_match(spark, sf_dir):
+    rules = spark.createDataFrame(RULES, "key string, value string, ord int, layer string, weight double")
+    return joins.best_rule(load(spark, sf_dir, "v_feature").select("id", "key", "value"), rules)
+
+
+@query(
+    """SELECT r.request_id, x.area_key FROM v_bbox r LEFT JOIN (SELECT b.request_id, a.area_key, row_number() OVER (PARTITION BY b.request_id ORDER BY (a.east - a.west) * (a.north - a.south), a.area_key) AS k
+    FROM v_bbox b JOIN v_area a ON a.west <= b.west AND a.south <= b.south AND a.east >= b.east AND a.north >= b.north AND a.age_days <= 45) x ON x.request_id = r.request_id AND x.k = 1""",
+    "v_bbox", "v_area",
+)
+def join_covering_area(spark, sf_dir):
+    return joins.covering_area(load(spark, sf_dir, "v_bbox"), load(spark, sf_dir, "v_area"), 0.02, 45)
+
+
+@query("SELECT b.request_id, f.id FROM v_feature f JOIN v_bbox b ON f.lon >= b.west AND f.lon <= b.east AND f.lat >= b.south AND f.lat <= b.north", "v_feature", "v_bbox")
+def flt_bbox(spark, sf_dir):
+    """Points in closed request boxes, joined on grid cells of the boxes' width."""
+    cell = 0.02
+    f = load(spark, sf_dir, "v_feature").select("id", "lon", "lat", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
+    b = load(spark, sf_dir, "v_bbox").withColumn("cx", cells("west", "east")).withColumn("cy", cells("south", "north"))
+    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
+    return f.join(b, ["cx", "cy"]).filter(inside).select("request_id", "id")
+
+
+BUCKET = """CASE WHEN surface IN ('asphalt','paved','concrete','paving_stones') THEN 'paved' WHEN surface IS NOT NULL AND highway IN ('path','bridleway') THEN 'singletrack'
+    WHEN surface IN ('gravel','fine_gravel','compacted','unpaved','ground','dirt','grass','sand') THEN 'gravel' WHEN highway IN ('path','bridleway') THEN 'singletrack' END"""
+
+
+@query(f"SELECT bucket, count(*) AS n, sum(CAST(round(length_m * 100e0) AS BIGINT)) AS length_cm FROM (SELECT *, {BUCKET} AS bucket FROM v_edge) GROUP BY bucket", "v_edge")
+def flt_surface_bucket(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_edge").withColumn("bucket", scoring.surface_bucket(F.col("highway"), F.col("surface")))
+    return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("length_m") * 100).cast("long")).alias("length_cm"))
+
+
+@query(
+    """SELECT verdict, highway, count(*) AS n FROM (SELECT highway, CASE WHEN bicycle IN ('no','use_sidepath','destination','private') THEN 'exclude' WHEN bicycle IS NULL AND access IN ('no','private') THEN 'exclude'
+    WHEN ford IN ('yes','stepping_stones') THEN 'flag' ELSE 'pass' END AS verdict FROM v_edge) GROUP BY verdict, highway""",
+    "v_edge",
+)
+def flt_edge_legality(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_edge").withColumn("verdict", scoring.legality("cycling", F.col("access"), F.col("bicycle"), F.col("ford")))
+    return rows.groupBy("verdict", "highway").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "SELECT area_key, east <= west OR north <= south OR (north - south) * 111320e0 < 4000e0 OR (east - west) * 111320e0 * cos(radians((north + south) / 2e0)) < 4000e0 AS degenerate FROM v_area", "v_area"
+)
+def flt_degenerate_bbox(spark, sf_dir):
+    w, s, e, n = (F.col(c) for c in ("west", "south", "east", "north"))
+    bad = (e <= w) | (n <= s) | ((n - s) * geo.DEGREE_M < 4000) | ((e - w) * geo.DEGREE_M * F.cos(F.radians((n + s) / 2)) < 4000)
+    return load(spark, sf_dir, "v_area").select("area_key", bad.alias("degenerate"))
+
+
+def _case(table: dict, column: str, default: float) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN {v}e0" for k, v in table.items()) + f" ELSE {default}e0 END"
+
+
+PROFILE = {"quiet": 0.9, "scenic": 0.9, "peaks": 0.3, "interest": 0.5, "directness": 0.2}
+COST = """CAST(round(length_m * greatest(1e0 + (0.9e0 * stress * 2e0 - CASE WHEN highway IN ('cycleway','path') THEN 0.9e0 * 0.35e0 ELSE 0e0 END
+    - CASE WHEN bucket = 'paved' THEN 0.4e0 ELSE 0e0 END * 0.6e0 - 0.3e0 * (least(grade, 0.12e0) / 0.12e0) * 0.6e0 - 0.5e0 * salience * 0.6e0) * 0.8e0, 0.05e0) * 100e0) AS BIGINT)"""
+
+
+def _costs(spark, sf_dir) -> DataFrame:
+    rows = load(spark, sf_dir, "v_edge").withColumn("stress", scoring.lookup(scoring.TRAFFIC, F.col("highway"), scoring.TRAFFIC_DEFAULT))
+    bucket = F.when(scoring.surface_bucket(F.col("highway"), F.col("surface")) == "paved", 0.4).otherwise(0.0)
+    scenic = F.coalesce(F.col("highway").isin("cycleway", "path"), F.lit(False))
+    cost = scoring.edge_cost(F.col("length_m"), F.col("stress"), scenic, bucket, F.col("grade"), F.col("salience"), PROFILE)
+    return rows.withColumn("cost", cost)
+
+
+@query(
+    f"SELECT highway, count(*) AS n, CAST(round(sum({COST}) / 1000000e0) AS BIGINT) AS cost FROM (SELECT *, {_case(scoring.TRAFFIC, 'highway', 0.5)} AS stress, {BUCKET} AS bucket FROM v_edge) GROUP BY highway", "v_edge"
+)
+def scl_edge_cost(spark, sf_dir):
+    c = F.round(F.col("cost") * 100).cast("long")
+    return _costs(spark, sf_dir).groupBy("highway").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(c) / 1000000).cast("long").alias("cost"))
+
+
+@query(
+    f"SELECT coalesce(surface, '-') AS surface, count(*) AS n, max({_case(scoring.SURFACE_QUALITY, 'surface', 0.6)}) AS quality FROM v_edge GROUP BY surface", "v_edge"
+)
+def scl_surface_quality(spark, sf_dir):
+    q = scoring.lookup(scoring.SURFACE_QUALITY, F.col("surface"), scoring.SURFACE_DEFAULT)
+    return load(spark, sf_dir, "v_edge").groupBy("surface").agg(F.count(F.lit(1)).alias("n"), F.max(q).alias("quality")).withColumn("surface", F.coalesce("surface", F.lit("-")))
+
+
+@query(
+    """SELECT mode, count(*) AS n, sum(distance_cm) AS distance_cm, sum(climb_m) AS climb_m, round(sum(traffic * CAST(distance_cm AS DOUBLE)) / sum(CASE WHEN traffic IS NOT NULL THEN CAST(distance_cm AS DOUBLE) END), 6) AS traffic
+    FROM v_segment GROUP BY mode""",
+    "v_segment",
+)
+def agg_rollup_by_mode(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_segment")
+    return rows.groupBy("mode").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("distance_cm").alias("distance_cm"), F.sum("climb_m").alias("climb_m"),
+        F.round(rollups.known_weighted(F.col("traffic"), F.col("distance_cm").cast("double")), 6).alias("traffic"),
+    )
+
+
+@query("SELECT trip_id, day_id, count(*) AS n, sum(distance_cm) AS distance_cm, max(climb_m) AS worst_climb_m FROM v_segment GROUP BY trip_id, day_id", "v_segment")
+def agg_day_rollup(spark, sf_dir):
+    return load(spark, sf_dir, "v_segment").groupBy("trip_id", "day_id").agg(F.count(F.lit(1)).alias("n"), F.sum("distance_cm").alias("distance_cm"), F.max("climb_m").alias("worst_climb_m"))
+
+
+@query(
+    """SELECT trip_id, day_id, mode, distance_cm, CASE mode WHEN 'cycling' THEN 8000000 ELSE 4000000 END AS limit_cm FROM (SELECT trip_id, day_id, mode, sum(distance_cm) AS distance_cm FROM v_segment GROUP BY trip_id, day_id, mode)
+    WHERE distance_cm > CASE mode WHEN 'cycling' THEN 8000000 ELSE 4000000 END""",
+    "v_segment",
+)
+def agg_limit_breaches(spark, sf_dir):
+    sums = load(spark, sf_dir, "v_segment").groupBy("trip_id", "day_id", "mode").agg(F.sum("distance_cm").alias("distance_cm"))
+    return sums.withColumn("limit_cm", F.when(F.col("mode") == "cycling", 8000000).otherwise(4000000)).filter("distance_cm > limit_cm")
+
+
+@query(
+    """SELECT day_id, CASE WHEN sum(CASE WHEN mode = 'transit' THEN 1 ELSE 0 END) > 0 THEN NULL ELSE
+    sum(CAST(round(CAST(distance_cm AS DOUBLE) / CASE mode WHEN 'cycling' THEN 15e0 WHEN 'hiking' THEN 5e0 ELSE 4e0 END * 36e0) AS BIGINT)) END AS moving_ms FROM v_segment GROUP BY day_id""",
+    "v_segment",
+)
+def agg_moving_time(spark, sf_dir):
+    """Milliseconds from distance and the mode's speed; a mode without a speed makes the whole unknown."""
+    speed = scoring.lookup(scoring.SPEED_KMH, F.col("mode"))
+    rows = load(spark, sf_dir, "v_segment").withColumn("s", F.round(F.col("distance_cm") / speed * 36).cast("long"))
+    return rows.groupBy("day_id").agg(F.when(F.count(F.lit(1)) == F.count("s"), F.sum("s")).alias("moving_ms"))
+
+
+@query(
+    """SELECT key, CASE WHEN max(s) >= 1e0 THEN 1e0 ELSE round(1e0 - exp(sum(CASE WHEN s < 1e0 THEN ln(1e0 - s) ELSE 0e0 END)), 5) END AS score
+    FROM (SELECT key || '-' || CAST(id % 199 AS VARCHAR) AS key, greatest(0e0, least(1e0, salience)) AS s FROM v_feature) GROUP BY key""",
+    "v_feature",
+)
+def agg_noisy_or(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_feature").withColumn("key", F.concat("key", F.lit("-"), (F.col("id") % 199).cast("string")))
+    return rows.groupBy("key").agg(F.round(rollups.noisy_or(F.col("salience")), 5).alias("score"))
+
+
+@query(
+    "SELECT event_type, n, max(CASE WHEN k = least(n - 1, CAST(floor(0.5e0 * n) AS BIGINT)) THEN value END) AS p50, max(CASE WHEN k = least(n - 1, CAST(floor(0.95e0 * n) AS BIGINT)) THEN value END) AS p95 "
+    "FROM (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS k, count(*) OVER (PARTITION BY event_type) AS n FROM v_sample WHERE value IS NOT NULL) GROUP BY event_type, n",
+    "v_sample",
+)
+def agg_percentiles(spark, sf_dir):
+    return rollups.percentiles(load(spark, sf_dir, "v_sample"), ["event_type"], "value", {"p50": 0.5, "p95": 0.95})
+
+
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{t}' AS tag, count({t}) AS n, sum(CASE WHEN {t} IS NOT NULL THEN c ELSE 0 END) AS length, round(100e0 * count({t}) / count(*), 6) AS pct_rows, round(100e0 * sum(CASE WHEN {t} IS NOT NULL THEN c ELSE 0 END) / sum(c), 6) AS pct_length FROM (SELECT *, CAST(round(length_m * 100e0) AS BIGINT) AS c FROM v_edge)"
+        for t in ("highway", "surface", "access", "bicycle", "ford")
+    ),
+    "v_edge",
+)
+def agg_tag_coverage(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_edge").withColumn("c", F.round(F.col("length_m") * 100).cast("long"))
+    out = rollups.coverage(rows, ["highway", "surface", "access", "bicycle", "ford"], "c")
+    return out.withColumn("pct_rows", F.round("pct_rows", 6)).withColumn("pct_length", F.round("pct_length", 6))
+
+
+@query(
+    """SELECT route_id, n, penalty_cm, violations FROM (SELECT route_id, count(*) AS n, sum(CAST(round(abs(s) * 100e0) AS BIGINT)) AS penalty_cm, count(CASE WHEN s <> 0 THEN 1 END) AS violations FROM
+    (SELECT route_id, CASE WHEN length_m < 10000e0 THEN length_m - 10000e0 WHEN length_m > 40000e0 THEN length_m - 40000e0 ELSE 0e0 END AS s FROM v_edge) GROUP BY route_id)""",
+    "v_edge",
+)
+def agg_band_penalty(spark, sf_dir):
+    s = scoring.band_shortfall(F.col("length_m"), F.lit(10000.0), F.lit(40000.0))
+    rows = load(spark, sf_dir, "v_edge").withColumn("s", s)
+    return rows.groupBy("route_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.abs("s") * 100).cast("long")).alias("penalty_cm"), F.count(F.when(F.col("s") != 0, 1)).alias("violations"))
+
+
+@query(
+    """SELECT user_id, sum(CASE WHEN d > 0 THEN d ELSE 0 END) AS ascent_m, sum(CASE WHEN d < 0 THEN -d ELSE 0 END) AS descent_m, min(alt_m) AS min_m, max(alt_m) AS max_m FROM
+    (SELECT user_id, alt_m, alt_m - lag(alt_m) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM v_sample WHERE alt_m IS NOT NULL) GROUP BY user_id""",
+    "v_sample",
+)
+def agg_elevation(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = load(spark, sf_dir, "v_sample").filter("alt_m is not null").withColumn("d", F.col("alt_m") - F.lag("alt_m").over(w))
+    up: Column = F.sum(F.when(F.col("d") > 0, F.col("d")).otherwise(0.0))
+    return rows.groupBy("user_id").agg(up.alias("ascent_m"), F.sum(F.when(F.col("d") < 0, -F.col("d")).otherwise(0.0)).alias("descent_m"), F.min("alt_m").alias("min_m"), F.max("alt_m").alias("max_m"))
+
+
+@query(
+    """SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 2) AS distance FROM v_sample""", "v_sample"
+)
+def win_cumulative(spark, sf_dir):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    return load(spark, sf_dir, "v_sample").select("user_id", "event_id", F.round(F.sum("value").over(w), 2).alias("distance"))
+
+
+@query(
+    """SELECT user_id, event_id, round(coalesce(alt_m, v0 + (v1 - v0) * CASE WHEN d1 > d0 THEN (dist_m - d0) / (d1 - d0) ELSE 0e0 END, v0, v1, 0e0), 4) AS filled FROM (SELECT *,
+    last_value(alt_m IGNORE NULLS) OVER b AS v0, last_value(CASE WHEN alt_m IS NOT NULL THEN dist_m END IGNORE NULLS) OVER b AS d0,
+    first_value(alt_m IGNORE NULLS) OVER a AS v1, first_value(CASE WHEN alt_m IS NOT NULL THEN dist_m END IGNORE NULLS) OVER a AS d1 FROM v_sample
+    WINDOW b AS (PARTITION BY user_id ORDER BY dist_m ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), a AS (PARTITION BY user_id ORDER BY dist_m ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))""",
+    "v_sample",
+)
+def win_void_fill(spark, sf_dir):
+    out = sequences.fill_by_distance(load(spark, sf_dir, "v_sample"), ["user_id"], ["dist_m"], "alt_m", "dist_m")
+    return out.select("user_id", "event_id", F.round("filled", 4).alias("filled"))
+
+
+@query(
+    """SELECT user_id, run, event_type, count(*) AS n_rows, sum(one) AS run_length FROM (SELECT *, sum(n) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) - 1 AS run FROM
+    (SELECT user_id, ts, event_id, event_type, 1 AS one, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) = event_type THEN 0 ELSE 1 END AS n FROM v_sample)) GROUP BY user_id, run, event_type""",
+    "v_sample",
+)
+def win_runs(spark, sf_dir):
+    return sequences.runs(load(spark, sf_dir, "v_sample").withColumn("one", F.lit(1)), ["user_id"], ["ts", "event_id"], "event_type", "one")
+
+
+@query(
+    "SELECT route_id, k AS repeat, count(*) AS n FROM (SELECT route_id, row_number() OVER (PARTITION BY route_id, least(a, b), greatest(a, b) ORDER BY seq) - 1 AS k FROM (SELECT route_id, seq, u % 3 AS a, v % 3 AS b FROM v_edge)) GROUP BY route_id, k", "v_edge"
+)
+def win_repeats(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_edge").select("route_id", "seq", (F.col("u") % 3).alias("a"), (F.col("v") % 3).alias("b"))
+    return sequences.repeats(rows, ["route_id"], ["seq"], "a", "b").groupBy("route_id", "repeat").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT user_id, event_id, CASE WHEN sum(CASE WHEN m IS NULL THEN 1 ELSE 0 END) OVER w = 0 THEN sum(m) OVER w END AS running FROM
+    (SELECT user_id, event_id, ts, CASE WHEN event_id % 9 = 4 THEN NULL ELSE event_id % 100 END AS m FROM v_sample) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)""",
+    "v_sample",
+)
+def win_known_running(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_sample").withColumn("m", F.when(F.col("event_id") % 9 != 4, F.col("event_id") % 100))
+    return sequences.known_running(rows, ["user_id"], ["ts", "event_id"], "m").select("user_id", "event_id", "running")
+
+
+@query(
+    """SELECT area_key, NOT pinned AND sum(bytes) OVER (PARTITION BY store) - coalesce(sum(bytes) OVER (PARTITION BY store, pinned ORDER BY used, bytes ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) > 40000 AS evicted
+    FROM (SELECT *, age_days * 100000 + area_key AS used FROM v_area)""",
+    "v_area",
+)
+def win_lru_evict(spark, sf_dir):
+    rows = load(spark, sf_dir, "v_area").withColumn("used", F.col("age_days") * 100000 + F.col("area_key"))
+    return sequences.evict(rows, ["store"], "bytes", "used", "pinned", 40000).select("area_key", "evicted")
+
+
+@query(
+    """SELECT key, id, rank, k FROM (SELECT key, id, round(salience, 6) AS rank, row_number() OVER (PARTITION BY key ORDER BY round(salience, 6) DESC, id) AS k FROM v_feature) WHERE k <= 30""", "v_feature"
+)
+def srt_proposals(spark, sf_dir):
+    """The feature: the best 30 proposals of each kind by (-rank, id); Spark limits groups before the shuffle."""
+    w = Window.partitionBy("key").orderBy(F.desc("rank"), "id")
+    return load(spark, sf_dir, "v_feature").select("key", "id", F.round("salience", 6).alias("rank")).withColumn("k", F.row_number().over(w)).filter("k <= 30")
+
+
+@query(
+    f"""SELECT f.id, round(f.salience * exp(-coalesce(n.d, 0e0) / 2500e0), 5) AS score FROM v_feature f LEFT JOIN (SELECT left_id, min(distance_m) AS d FROM ({CELL_JOIN} FROM v_feature a JOIN v_node b ON abs(a.lat - b.lat) < 0.004e0)
+    WHERE distance_m <= 300e0 GROUP BY left_id) n ON n.left_id = f.id""",
+    "v_feature", "v_node",
+)
+def srt_corridor_rank(spark, sf_dir):
+    f = load(spark, sf_dir, "v_feature")
+    near = joins.nearest(f, load(spark, sf_dir, "v_node"), 300.0, LAT0).select(F.col("left_id").alias("id"), F.round("distance_m", 2).alias("d"))
+    return f.join(near, "id").select("id", F.round(F.col("salience") * F.exp(-F.coalesce("d", F.lit(0.0)) / 2500), 5).alias("score"))
+
+
+@query(
+    """SELECT id, cardinality_both, cardinality_all, CASE WHEN cardinality_all = 0 THEN 1e0 ELSE round(CAST(cardinality_both AS DOUBLE) / cardinality_all, 6) END AS jaccard FROM
+    (SELECT a.id, len(list_intersect(a.s, b.s)) AS cardinality_both, len(list_distinct(list_concat(a.s, b.s))) AS cardinality_all FROM (SELECT id, [id % 5, id % 7, id % 11] AS s FROM v_feature) a
+    JOIN (SELECT id, [id % 5, id % 7, id % 11] AS s FROM v_feature) b ON b.id = a.id + 1)""",
+    "v_feature",
+)
+def set_jaccard(spark, sf_dir):
+    s = load(spark, sf_dir, "v_feature").select("id", F.array_distinct(F.array(*[F.col("id") % k for k in (5, 7, 11)])).alias("s"))
+    pairs = s.join(s.select((F.col("id") - 1).alias("id"), F.col("s").alias("t")), "id")
+    both, every = F.size(F.array_intersect("s", "t")).cast("long"), F.size(F.array_union("s", "t")).cast("long")
+    return pairs.select("id", both.alias("cardinality_both"), every.alias("cardinality_all"), F.when(every == 0, 1.0).otherwise(F.round(both / every, 6)).alias("jaccard"))
+
+
+@query(
+    "SELECT CASE WHEN a.id IS NULL THEN 'right' WHEN b.id IS NULL THEN 'left' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT u AS id FROM v_edge WHERE u % 3 <> 0) a FULL JOIN (SELECT DISTINCT u AS id FROM v_edge WHERE u % 4 <> 0) b ON a.id = b.id GROUP BY 1",
+    "v_edge",
+)
+def set_parity(spark, sf_dir):
+    """Ids of two graphs: only left, only right or both, from one grouping over their union."""
+    e = load(spark, sf_dir, "v_edge").select(F.col("u").alias("id"))
+    sides = e.filter("id % 3 != 0").withColumn("m", F.lit(1)).unionByName(e.filter("id % 4 != 0").withColumn("m", F.lit(2)))
+    marks = sides.groupBy("id").agg(F.bit_or("m").alias("m"))
+    return marks.groupBy(F.when(F.col("m") == 1, "left").when(F.col("m") == 2, "right").otherwise("both").alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """SELECT page_id, regexp_replace(regexp_extract(url, '://[^/?#]*([^?#]*)', 1), '[0-9]+', '{n}', 'g') AS template FROM pages"""
+)
+def flt_log_redaction(spark, sf_dir):
+    """Request paths as templates: query and fragment dropped, numbers masked."""
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", F.regexp_replace(F.regexp_extract("url", "://[^/?#]*([^?#]*)", 1), "[0-9]+", "{n}").alias("template"))
+
+
+@query(f"SELECT key, value, count(*) AS n FROM v_feature WHERE (key = 'historic' OR value IN ('{VALUES[1]}', '{VALUES[3]}')) GROUP BY key, value", "v_feature")
+def flt_qualification(spark, sf_dir):
+    gate = (F.col("key") == "historic") | F.col("value").isin(VALUES[1], VALUES[3])
+    return load(spark, sf_dir, "v_feature").filter(gate).groupBy("key", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def str_entry_triggers(spark, sf_dir):
+    """Hysteresis over ordered readings keeps state, which SQL can't express."""
+    rows = load(spark, sf_dir, "v_sample").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "inside")
+    return entry_events(rows)
