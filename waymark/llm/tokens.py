@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text handed to the library at once; a longer text is split.
-BATCH_BYTES = 1 << 19
+BATCH_BYTES = 1 << 21
 #: Characters of the longest piece that is remembered, and pieces remembered by each Python worker.
-SHORT, REMEMBERED = 48, 800_000
+SHORT, REMEMBERED = 48, 1_000_000
 #: A place where the byte-level BPE's pre-tokenizer always starts a new word: before one space that stands between two
 #: characters which are no white space. No added token has a space in it, so none is cut either.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -78,17 +78,15 @@ class Encoder:
 
     def _join(self, parts: list[list[str]]) -> list[bytes]:
         """The ids of texts cut in pieces. What isn't known of all of them goes to the library together."""
-        new = set().union(*(pieces[1:] for pieces in parts)).difference(self.known)
+        every = set().union(*(pieces[1:] for pieces in parts))
+        known = {p: ids for p in every if (ids := self.known.get(p)) is not None}
+        new = self._learn([p for p in every if p not in known])
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
-            new = set().union(*(pieces[1:] for pieces in parts))
-        self.known.update(self._learn(list(new)))
-        ids = self.known.__getitem__
-        out = [self._head(pieces[0]) + b"".join(map(ids, pieces[1:])) for pieces in parts]
-        for piece in new:
-            if len(piece) > SHORT:
-                del self.known[piece]
-        return out
+        self.known.update((p, ids) for p, ids in new.items() if len(p) <= SHORT)
+        # A table of this group's pieces alone is small enough to stay in a core's cache.
+        ids = (known | new).__getitem__
+        return [self._head(pieces[0]) + b"".join(map(ids, pieces[1:])) for pieces in parts]
 
     def encode(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit numbers."""
