@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import re
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text handed to the library at once; a longer text is split.
 BATCH_BYTES = 1 << 21
 #: Characters of the longest piece that is remembered, and pieces remembered by each Python worker.
-SHORT, REMEMBERED = 48, 1_000_000
+SHORT, REMEMBERED = 48, 1_400_000
 #: A place where the byte-level BPE's pre-tokenizer always starts a new word: before one space that stands between two
 #: characters which are no white space. No added token has a space in it, so none is cut either.
 SAFE = re.compile(r"(?<=\S) (?=\S)")
@@ -69,23 +71,24 @@ class Encoder:
             if size >= BATCH_BYTES or k == len(pieces):
                 texts = [p if p[:1] == "\n" else " " + p for p in batch]
                 for p, got in zip(batch, self.library.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-                    out[p] = np.array(got.ids, "<u4").tobytes()
+                    out[p] = ids_bytes(got.ids)
                 batch, size = [], 0
         return out
 
     def _head(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if text else b""
+        return ids_bytes(self.library.encode(text, add_special_tokens=False).ids) if text else b""
 
     def _join(self, parts: list[list[str]]) -> list[bytes]:
         """The ids of texts cut in pieces. What isn't known of all of them goes to the library together."""
         every = set().union(*(pieces[1:] for pieces in parts))
-        known = {p: ids for p in every if (ids := self.known.get(p)) is not None}
-        new = self._learn([p for p in every if p not in known])
+        # A table of this group's pieces alone is small enough to stay in a core's cache.
+        own = {p: self.known.get(p) for p in every}
+        new = self._learn([p for p, ids in own.items() if ids is None])
+        own.update(new)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
         self.known.update((p, ids) for p, ids in new.items() if len(p) <= SHORT)
-        # A table of this group's pieces alone is small enough to stay in a core's cache.
-        ids = (known | new).__getitem__
+        ids = own.__getitem__
         return [self._head(pieces[0]) + b"".join(map(ids, pieces[1:])) for pieces in parts]
 
     def encode(self, text: str) -> bytes:
@@ -108,6 +111,13 @@ class Encoder:
                 at += 1
 
 
+def ids_bytes(ids: list[int]) -> bytes:
+    got = array("I", ids)
+    if sys.byteorder == "big":
+        got.byteswap()
+    return got.tobytes()
+
+
 def cut(text: str) -> list[str]:
     """The text in pieces that the pre-tokenizer keeps apart. The first may be empty; each other one stands for itself
     if it begins with a line feed, and else for itself after one space."""
