@@ -401,3 +401,12 @@ def test_every_query_is_registered(name):
     import __spark_entry__
 
     assert sum(q.startswith(name) for q in __spark_entry__.queries()) == 1
+
+
+def test_encoder_learns_pieces_together_as_alone():
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    texts = ["a it's <|endoftext|>b\nc d", " \n\n x\t y", "é日本 !?\r\n 12", "", "w " * 50, "Ġ Ċx\nĠ"]
+    for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    pieces = ["one", "\ntwo", "three's", "<|endoftext|>"]
+    assert encoder._learn_plain(pieces) == encoder._learn_each(pieces)
