@@ -1 +1,3 @@
+"""Derived views and the catalogue of queries."""
 
+from . import catalog, journeys  # noqa: F401

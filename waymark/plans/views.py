@@ -18,6 +18,9 @@ SURFACES = ["asphalt", "gravel", None, "dirt", "concrete", "sand", "compacted"]
 MODES = ["cycling", "hiking", "paddling", "transit"]
 KEYS = ["historic", "tourism", "amenity", "natural", "leisure"]
 VALUES = ["castle", "viewpoint", "cafe", "peak", "park", "ruins", "museum"]
+SEVERITIES = ["caution", "high", "mandatory_reroute", "caution", "caution", "high", "caution"]
+STATUSES = ["denied", "required", "applied", "confirmed", "confirmed"]
+CUES = ["turn", "surface", "node", "hazard", "event", "turn", "provision"]
 
 VIEWS = {
     "v_feature": f"""SELECT p_partkey AS id, -82.6e0 + CAST((p_partkey * 7919) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
@@ -41,6 +44,12 @@ VIEWS = {
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
     "v_sample": """SELECT user_id, ts, event_id, value, CASE WHEN event_id % 5 = 0 THEN NULL ELSE CAST((event_id * 37) % 900 AS DOUBLE) END AS alt_m,
         CAST(event_id AS DOUBLE) AS dist_m, event_type, value < 5e0 AS inside FROM events""",
+    "v_hazard": f"""SELECT event_id AS hazard_id, user_id AS trip_id, event_id % 5 AS day_id, {pick("event_id * 3", SEVERITIES)} AS severity,
+        CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST((event_id * 37) % 9000 AS DOUBLE) END AS along_m FROM events""",
+    "v_permit": f"""SELECT o_orderkey AS permit_id, o_custkey AS trip_id, {pick("o_orderkey * 3 + o_custkey", STATUSES)} AS status, o_orderpriority AS title FROM orders""",
+    "v_cue": f"""SELECT event_id AS cue_id, user_id AS route_id, {pick("event_id * 5", CUES)} AS kind, CAST((event_id * 37) % 20011 AS DOUBLE) AS along_m FROM events""",
+    "v_chain": """SELECT p_partkey AS u, p_partkey + 1 AS v, p_retailprice AS length_m FROM part WHERE (p_partkey * 7919) % 7 > 1
+        UNION ALL SELECT p_partkey AS u, p_partkey + 2 AS v, p_retailprice * 1.5e0 AS length_m FROM part WHERE p_partkey % 5 = 0""",
 }
 
 
