@@ -161,6 +161,26 @@ def test_patterns_place_every_length():
     assert placed == histogram
 
 
+def test_packs_take_several_pieces_of_one_length(spark):
+    assert sum(n for _, n in packing.patterns({100: 1000})) == 50
+    assert packing.patterns({1: 5000}) == [((1,) * 2048, 2), ((1,) * 904, 1)]
+    for hot in ({200: 30_000, 1500: 700, 348: 300, 1: 9000}, {1: 10**6} | dict.fromkeys(range(1025, 2048), 1)):
+        packs = packing.patterns(hot)
+        placed = Counter()
+        for pattern, n in packs:
+            assert sum(pattern) <= 2048
+            placed.update({k: v * n for k, v in Counter(pattern).items()})
+        assert placed == hot and sum(n for _, n in packs) <= 1.1 * sum(k * n for k, n in hot.items()) / 2048
+    df = docs_of(spark, [None] * 3000 + ["the same short text of a few words"] * 1500)
+    where = defaultdict(list)
+    for r in packing.pack(df, BPE).collect():
+        where[r.sequence_id].append((r.offset, r.length))
+    filled = sum(length for parts in where.values() for _, length in parts)
+    assert sum(map(len, where.values())) == 4500 and len(where) == -(-filled // 2048) and sorted(where) == list(range(len(where)))
+    for parts in where.values():
+        assert [o for o, _ in sorted(parts)] == [0, *itertools.accumulate(length for _, length in sorted(parts))][:-1]
+
+
 def brute_statistics(text):
     text = text or ""
     words = WORD.findall(text)

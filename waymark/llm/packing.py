@@ -5,6 +5,7 @@ from __future__ import annotations
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -43,48 +44,56 @@ def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) ->
 
 def patterns(histogram: dict[int, int], size: int = SIZE) -> list[tuple[tuple[int, ...], int]]:
     """Packs as (lengths, how many such packs). Lengths are placed longest first, each into the shortest pack that
-    there is, if it fits, else into a new one; packs of one pattern are handled by their count.
+    there is, if it fits, else into a new one; packs of one pattern are handled by their count. A pack may take several
+    pieces of one length.
 
-    The work depends on the number of different lengths, at most `size`, and not on the number of pieces.
+    The work depends on the different lengths, at most `size`, and on `size`, and not on the number of pieces.
     """
-    open_: dict[int, list[tuple[tuple[int, ...], int]]] = defaultdict(list)  # by the space left
+    # By the space left: runs (length, pieces) and how many packs have these.
+    open_: dict[int, dict[tuple[tuple[int, int], ...], int]] = defaultdict(dict)
     widest = 0
-    full: list[tuple[tuple[int, ...], int]] = []
+
+    def put(space: int, runs: tuple[tuple[int, int], ...], length: int, pieces: int, count: int) -> None:
+        """Packs of one pattern, each after `pieces` more of this length."""
+        if runs and runs[-1][0] == length:
+            runs, pieces = runs[:-1], pieces + runs[-1][1]
+        runs = (*runs, (length, pieces))
+        open_[space][runs] = open_[space].get(runs, 0) + count
+
     for length in sorted(histogram, reverse=True):
         n = histogram[length]
-        placed: list[tuple[tuple[int, ...], int]] = []
         while n:
             while widest and not open_[widest]:
                 widest -= 1
-            if widest < length:
-                # A new pack at once takes as many of this length as the shortest-pack rule would give it.
-                placed.append(((length,), n))
-                n = 0
+            if widest >= length:
+                runs, count = open_[widest].popitem()
+                used = min(n, count)
+                if count > used:
+                    open_[widest][runs] = count - used
+                put(widest - length, runs, length, 1, used)
+                n -= used
                 continue
-            pattern, count = open_[widest].pop()
-            used = min(n, count)
-            if count > used:
-                open_[widest].append((pattern, count - used))
-            placed.append(((*pattern, length), used))
-            n -= used
-        for pattern, count in placed:
-            if space := size - sum(pattern):
-                open_[space].append((pattern, count))
-                widest = max(widest, space)
-            else:
-                full.append((pattern, count))
-    return full + [x for space in sorted(open_) for x in open_[space]]
-
-
-def slots(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int]]:
-    """(length, first rank, rank behind the last, sequence of the first rank, offset) for each place in each pattern."""
+            # No pack has room, so a new one stays the shortest until this length no longer fits.
+            most = size // length
+            for pieces, count in ((most, n // most), (n % most, 1)):
+                if pieces and count:
+                    put(size - pieces * length, (), length, pieces, count)
+                    widest = max(widest, size - pieces * length)
+            n = 0
+    return [(tuple(k for k, m in runs for _ in range(m)), n) for space in sorted(open_) for runs, n in open_[space].items()]
+
+
+def slots(packs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int, int, int, int]]:
+    """(length, first rank, rank behind the last, sequence of the first rank, offset, pieces) for each run of one length
+    in each pattern: each of its sequences takes `pieces` ranks in a row."""
     out, used, sequence = [], defaultdict(int), 0
     for pattern, count in packs:
         offset = 0
-        for length in pattern:
-            out.append((length, used[length], used[length] + count, sequence, offset))
-            used[length] += count
-            offset += length
+        for length, run in groupby(pattern):
+            n = len(list(run))
+            out.append((length, used[length], used[length] + n * count, sequence, offset, n))
+            used[length] += n * count
+            offset += n * length
         sequence += count
     return out
 
@@ -102,7 +111,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
     cut = materialize(pieces(docs, tokenizer, size, end), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     table = spark.createDataFrame(
-        slots(patterns(histogram, size)) or [(0, 0, 0, 0, 0)], "length long, low long, high long, sequence long, offset long"
+        slots(patterns(histogram, size)) or [(0, 0, 0, 0, 0, 1)], "length long, low long, high long, sequence long, offset long, pieces long"
     )
     counts = spark.createDataFrame([(k, -(-n // RANKED)) for k, n in histogram.items()] or [(0, 1)], "length long, chunks long")
     rows = cut.join(F.broadcast(counts), "length").withColumn("chunk", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), "chunks"))
@@ -115,6 +124,6 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> D
         F.broadcast(table).alias("s"),
         (F.col("p.length") == F.col("s.length")) & (F.col("p.rank") >= F.col("s.low")) & (F.col("p.rank") < F.col("s.high")),
     )
-    return placed.select(
-        "doc_id", "start", "p.length", "ids_crc32", "doc_tokens", (F.col("sequence") + F.col("rank") - F.col("low")).alias("sequence_id"), "offset"
-    )
+    sequence = F.col("sequence") + F.expr("(rank - low) div pieces")
+    offset = F.col("offset") + (F.col("rank") - F.col("low")) % F.col("pieces") * F.col("p.length")
+    return placed.select("doc_id", "start", "p.length", "ids_crc32", "doc_tokens", sequence.alias("sequence_id"), offset.alias("offset"))
