@@ -345,6 +345,28 @@ def test_pages(spark):
     assert pages.extract(df.filter("false")).count() == 0
 
 
+def test_copies_of_a_page_keep_their_text(spark):
+    plain = "<body><div>Shared banner</div><p>{}</p><p>Shared end</p></body>"
+    one, two = plain.format("own one"), plain.format("own two")
+    rows = [(1, "http://a.b/x/1", one), (2, "http://a.b/x/1?print", one), (3, "http://m.n/p", one), (4, "http://m.n/q", one + "<!-- mirror -->")]
+    rows += [(k, "http://r.s/x/1", one) for k in (5, 7, 8, 9)] + [(6, "http://r.s/x/1", two), (10, "http://r.s/x/2", two)]
+    rows += [(11, "http://a.b/y", two)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r.page_id: r.text for r in pages.extract(df.repartition(1)).collect()}
+    whole = "Shared banner\n\nown one\n\nShared end"
+    assert text[1] == text[2] == "own one" and text[11] == "own two" and text[3] == text[4] == whole
+    assert [text[k] for k in range(5, 11)] == ["own one", "own two", "own one", "own one", "own one", "own two"]
+
+
+def test_main_text_within_a_layout_named_after_its_sidebar():
+    text = lambda html: pages.main_text(pages.parse(html), None)
+    for layout in ("layout has-sidebar", "no-sidebar", "widget"):
+        page = f"<body><div class='{layout}'><div>menu</div><article><h1>Head</h1><p>Text<div class='comments'><article>first</article></div></article><p>after</div><p>end"
+        assert text(page) == "Head\n\nText"
+    assert text("<div class='no-sidebar'><main class='has-sidebar'><p>Text</main></div>") == "Text"
+    assert text("<p>Text</p><aside class='x'><article>no</article></aside><div id='comments'><article class='comment'>no</article></div>") == "Text"
+
+
 def test_common_lines_are_longest():
     rng = np.random.default_rng(5)
     for _ in range(300):

@@ -55,13 +55,16 @@ class Page:
 
 def parse(html: str | None) -> Page:
     """The blocks of a page but for menus, forms and other elements that are never main text. Character references are
-    decoded and white space becomes one space; null is an empty page. Unclosed elements end with the one around them."""
+    decoded and white space becomes one space; null is an empty page. Unclosed elements end with the one around them.
+
+    What is left out by its class, id or role alone, like a layout "has-sidebar", may hold the main text: an article or
+    main in it that isn't within main text already begins it again, but for an article whose own names say otherwise."""
     html = html or ""
     lines: list[str] = []
     main: list[bool] = []
     text: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, within what is left out, within main text
-    out = inside = False
+    stack: list[tuple[str, int, bool]] = []  # element, within what is left out (1: by its names alone), within main text
+    out, inside = 0, False
 
     def end_block() -> None:
         if text:
@@ -87,14 +90,17 @@ def parse(html: str | None) -> Page:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
                     del stack[k:]
-                    out, inside = stack[-1][1:] if stack else (False, False)
+                    out, inside = stack[-1][1:] if stack else (0, False)
                     break
         elif name not in _VOID and not m[4].rstrip().endswith("/"):
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # its end tag is left out
-                out, inside = stack[-1][1:] if stack else (False, False)
-            side = name in _ASIDE or (name not in ("html", "body") and any(_SIDE_WORDS.search(a or b or c) for a, b, c in _NAMES.findall(m[4])))
-            out = out or (side and name not in _MAIN)
+                out, inside = stack[-1][1:] if stack else (0, False)
+            named = name not in ("html", "body") and any(_SIDE_WORDS.search(a or b or c) for a, b, c in _NAMES.findall(m[4]))
+            if name not in _MAIN:
+                out = max(out, 2 if name in _ASIDE else int(named))
+            elif out == 1 and not inside and not (named and name == "article"):
+                out = 0
             inside = inside or name in _MAIN
             stack.append((name, out, inside))
     if not out:
@@ -150,41 +156,66 @@ def main_text(page: Page, other: Page | None) -> str:
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars (code points) for each row of pages; other columns aren't read.
 
-    Pages are put in order of host, path and id by ranges, so a host of any size is spread over tasks, and each is
-    compared with the neighbour of its host whose path begins most like its own; at the border of two tasks only the
-    neighbour on this side is looked at. Three pages are held at a time. Null pages give an empty text, null urls count
-    as one host without a name, repeated rows are pages of their own that aren't compared with themselves.
+    Pages are put in order of host, path, content and id by ranges, so a host of any size is spread over tasks, and each
+    is compared with the neighbour of its host whose path begins most like its own. Rows in a row that have the same
+    lines, repeated ones, mirrors and copies at other paths, are one page here: their neighbours are the next pages that
+    differ, and without any all their lines stay. At the border of two tasks only the neighbour on this side is looked
+    at. Three different pages are held at a time, and the urls of the rows of one. Null pages give an empty text, null
+    urls count as one host without a name.
     """
     url = F.col("url").cast("string")
     rows = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"), host_of(url).alias("host"), path_of(url).alias("path"))
-    order = ["host", "path", "page_id"]
+    rows = rows.withColumn("content", F.xxhash64("html"))
+    order = ["host", "path", "content", "page_id"]
     rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple]:
+        def alike() -> Iterator[tuple]:
+            """Host and rows (id, url, path, page) of each run of equal lines within a host."""
+            name, same = None, []
             for batch in batches:
                 cols = [batch.column(c) for c in ("page_id", "url", "host", "path", "html")]
                 for k in range(len(batch)):
                     i, u, host, path, html = (c[k].as_py() for c in cols)
-                    yield i, u, (host, path, html), parse(html)
-
-        def finish(before, now, after):
-            i, u, (host, path, html), page = now
-            sides = [x if x and x[2][0] == host and x[2] != now[2] else None for x in (before, after)]
-            side = nearest(path, *(x and x[2][1] for x in sides))
-            return i, u, main_text(page, sides[side > 0][3] if side else None)
+                    page = parse(html)
+                    if same and (host != name or page.lines != same[-1][3].lines):
+                        yield name, same
+                        same = []
+                    if same and page == same[-1][3]:
+                        page = same[-1][3]  # copies are held once
+                    name = host
+                    same.append((i, u, path, page))
+            if same:
+                yield name, same
+
+        def finish(before, now, after) -> Iterator[tuple]:
+            host, same = now
+            ends = [x and x[0] == host and x[1][at] for x, at in ((before, -1), (after, 0))]
+            page, texts = None, {}
+            for i, u, path, own in same:
+                if own is not page:
+                    page, texts = own, {}
+                side = nearest(path, *(x[2] if x else None for x in ends))
+                if side not in texts:
+                    texts[side] = main_text(page, ends[side > 0][3] if side else None)
+                yield i, u, texts[side]
+
+        def rows_of() -> Iterator[tuple]:
+            before = now = None
+            for after in alike():
+                if now:
+                    yield from finish(before, now, after)
+                    now = now[0], now[1][-1:]
+                before, now = now, after
+            if now:
+                yield from finish(before, now, None)
 
-        before = now = None
         out: list[tuple] = []
-        for after in stream():
-            if now:
-                out.append(finish(before, now, after))
-            before, now = now, after
+        for row in rows_of():
+            out.append(row)
             if len(out) >= 256:
                 yield batch_of(out)
                 out = []
-        if now:
-            out.append(finish(before, now, None))
         yield batch_of(out)
 
     kind = dict(rows.dtypes)["page_id"]
