@@ -325,6 +325,19 @@ def test_licence_scan(spark):
     assert {r.doc_id: r.license for r in licenses.scan_licenses(df, model).collect()} == want
 
 
+def test_wrapped_licence_notices(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions\nare met:"
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    cc = "This work is licensed under a\nCreative Commons Attribution 4.0\nInternational License."
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal"
+    texts = [bsd, "Copyright x\n\n" + gpl, cc, mit, gpl.replace("# the Free", "#\n# the Free").replace("GNU", "\n\n"), "It rained.\n" + bsd + "\n\n" + bsd, "Released under the MIT License.\nIt rained.\nMore."]
+    got = {r.doc_id: r for r in licenses.scan_licenses(docs_of(spark, texts), licenses.fit_licenses()).collect()}
+    assert [got[k].license for k in range(7)] == ["BSD", "GPL-3.0", "CC-BY", "MIT", None, "BSD", "MIT"]
+    assert [got[k].n_licensed for k in range(7)] == [1, 1, 1, 1, 0, 2, 1] and got[1].paragraph == 2
+    narrow = "\n".join(" ".join(w) for w in itertools.batched(gpl.replace("#", "").split(), 6))
+    assert licenses.scan_licenses(docs_of(spark, [narrow]), licenses.fit_licenses()).first().license == "GPL-3.0"
+
+
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><body class="home"><nav><a>menu</a></nav><header>top</header>
 <div class="ad">buy</div><article><h1>Head &amp; more</h1><p>One <b>two
  three.<br><p>Four&nbsp;five<script>var a="</p>";</script><aside>side</aside><ul><li>six<li>seven</ul><div class="comments"><p>first!</p></div></article>

@@ -15,6 +15,8 @@ from .linear import constant, softmax_fit
 COMMON = frozenset("the a an of and or to in on for is are be it its this that with by from as at under you may not no any all your see use used".split())
 #: A template confirms a prediction if so much of its word pairs stand in the paragraph.
 SIMILAR = 0.6
+#: A notice may be wrapped over so many lines.
+LINES = 8
 
 #: Notices by family, as public licences word them. A paragraph is compared with these, and the model learns from them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -157,27 +159,51 @@ def _words(text: Column) -> Column:
 def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
     """doc_id, n_paragraphs, n_licensed, n_unconfirmed, license, paragraph, probability, similarity for each row of docs.
 
-    A paragraph is a line with a word; its number counts all lines from 0. license is the family of the most probable
-    paragraph whose probability reaches the model's threshold and which a template of that family confirms (similarity:
-    share of the template's n-grams in the paragraph); else null, the unknown class. n_unconfirmed counts paragraphs that
-    reach the threshold without a template like them. Ties go to the first paragraph. Null and empty texts have no
-    paragraph. Built-in functions only, without a shuffle: paragraphs without an anchor word are passed over, since
-    the model can't reach its threshold on them. Repeated rows give repeated rows; other columns aren't read.
+    A paragraph is a line with a word; its number counts all lines from 0. Notices are wrapped, so up to LINES lines in
+    a row are judged together as well, if all have words: of the first and the last line as many words as the longest
+    template has, of those between no more than that. license is the family of the most probable paragraph or run of
+    them whose probability reaches the model's threshold and which a template of that family confirms (similarity: share
+    of the template's n-grams in it); else null, the unknown class; paragraph is the number of its first line. Of runs
+    that hold each other or overlap and have the same family, the shorter or else the first counts. n_unconfirmed counts
+    paragraphs that reach the threshold by themselves without a template like them, and aren't in a run that counts.
+    Ties go to the first paragraph. Null and empty texts have no paragraph. Built-in functions only, without a shuffle:
+    paragraphs and runs without an anchor word are passed over, since the model can't reach its threshold on them.
+    Repeated rows give repeated rows; other columns aren't read.
     """
     vocabulary = _literal(model.vocabulary)
     anchors = _literal(model.anchors)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id"), text.alias("text"))
     lines = F.split("text", "\n", -1)
-    numbered = F.transform(lines, lambda p, i: F.struct(i.alias("at"), _words(p).alias("words")))
-    found = F.filter(numbered, lambda p: F.arrays_overlap(p["words"], anchors))
-    none = F.array().cast("array<struct<at:int,words:array<string>>>")
+    longest = max(len(words_of(t)) for family in TEMPLATES.values() for t in family)
+    none = F.array().cast("array<struct<words:array<string>,anchored:boolean>>")
+    numbered = F.transform(F.transform(lines, _words), lambda w: F.struct(w.alias("words"), F.arrays_overlap(w, anchors).alias("anchored")))
     rows = rows.select(
         "doc_id",
         F.size(F.filter(lines, lambda p: p.rlike(r"[^\x20\x09-\x0D]"))).cast("long").alias("n_paragraphs"),
-        F.when(F.arrays_overlap(_words(F.col("text")), anchors), found).otherwise(none).alias("found"),
+        F.when(F.arrays_overlap(_words(F.col("text")), anchors), numbered).otherwise(none).alias("lines"),
     )
 
+    def spans(k: int) -> Column:
+        """Runs of k lines, by their first line."""
+
+        def span(line: Column, i: Column) -> Column:
+            if k == 1:
+                return F.when(line["anchored"], F.struct(i.alias("at"), i.alias("end"), line["words"].alias("words")))
+            run = F.slice("lines", i + 1, k)
+            words = F.transform(run, lambda p: p["words"])
+            middle = F.flatten(F.slice(words, 2, k - 2))
+            first, last = F.get(words, F.lit(0)), F.get(words, F.lit(k - 1))
+            fits = (F.size(run) == k) & F.exists(run, lambda p: p["anchored"]) & F.forall(words, lambda w: F.size(w) > 0)
+            if k > 2:
+                fits = fits & (F.size(middle) <= longest)
+            first = F.slice(first, F.greatest(F.size(first) - longest, F.lit(0)) + 1, longest)
+            return F.when(fits, F.struct(i.alias("at"), (i + k - 1).alias("end"), F.concat(first, middle, F.slice(last, 1, longest)).alias("words")))
+
+        return F.filter(F.transform("lines", span), lambda p: p.isNotNull())
+
+    rows = rows.select("doc_id", "n_paragraphs", F.concat(*[spans(k) for k in range(1, LINES + 1)]).alias("found"))
+
     def grams(w: Column) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - 1, F.lit(1))), lambda i: F.concat_ws(" ", F.get(w, i - 1), F.get(w, i)))
         return F.array_distinct(F.concat(w, pairs))
@@ -186,7 +212,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
         """Hits as places in the vocabulary, then each family's logit over that of other text."""
         own = grams(p["words"])
         hits = F.transform(F.array_intersect(own, vocabulary), lambda g: (F.array_position(vocabulary, g) - 1).cast("int"))
-        return F.struct(p["at"].alias("at"), own.alias("grams"), hits.alias("hits"))
+        return F.struct(p["at"].alias("at"), p["end"].alias("end"), own.alias("grams"), hits.alias("hits"))
 
     rows = rows.withColumn("found", F.transform("found", judged))
     gap, gap_bias = model.weights[:, 1:] - model.weights[:, :1], model.bias[1:] - model.bias[0]
@@ -196,7 +222,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
             F.exp(F.aggregate(p["hits"], F.lit(float(gap_bias[k])), (lambda t: lambda a, h: a + F.get(t, h))(constant(gap[:, k].tolist()))))
             for k in range(len(model.families))
         ]
-        return F.struct(p["at"].alias("at"), p["grams"].alias("grams"), F.array(*odds).alias("odds"))
+        return F.struct(p["at"].alias("at"), p["end"].alias("end"), p["grams"].alias("grams"), F.array(*odds).alias("odds"))
 
     def similarity(p: Column, k: int) -> Column:
         shares = []
@@ -213,16 +239,28 @@ def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
         for k in range(len(model.families)):
             alike = F.when(family == k, similarity(p, k)).otherwise(alike)
         return F.struct(
-            (alike >= SIMILAR).alias("confirmed"), (best / total).alias("probability"), (-p["at"]).alias("back"),
+            (alike >= SIMILAR).alias("confirmed"), (best / total).alias("probability"), (-p["at"]).alias("back"), p["end"].alias("end"),
             F.get(_literal(model.families), family).alias("license"), alike.alias("similarity"),
         )
 
     rows = rows.withColumn("found", F.transform(F.transform("found", with_odds), decided))
     rows = rows.withColumn("found", F.filter("found", lambda p: p["probability"] >= model.threshold))
-    good = F.filter("found", lambda p: p["confirmed"])
-    top = F.array_max(good)
+    rows = rows.withColumn("good", F.filter("found", lambda p: p["confirmed"]))
+
+    def within(p: Column, q: Column) -> Column:
+        return (q["back"] <= p["back"]) & (q["end"] <= p["end"]) & (q["end"] + q["back"] < p["end"] + p["back"]) & (q["license"] == p["license"])
+
+    least = F.filter("good", lambda p: ~F.exists("good", lambda q: within(p, q)))
+    ordered = F.array_sort(least, lambda p, q: q["back"] - p["back"])
+    apart = F.aggregate(
+        ordered, F.slice("good", 1, 0),
+        lambda done, p: F.when(F.exists(done, lambda q: (q["end"] >= -p["back"]) & (q["license"] == p["license"])), done).otherwise(F.concat(done, F.array(p))),
+    )
+    rows = rows.withColumn("good", apart)
+    alone = F.filter("found", lambda p: (p["end"] == -p["back"]) & ~p["confirmed"] & ~F.exists("good", lambda q: (-q["back"] <= p["end"]) & (q["end"] >= p["end"])))
+    top = F.array_max("good")
     return rows.select(
-        "doc_id", "n_paragraphs", F.size(good).cast("long").alias("n_licensed"),
-        (F.size("found") - F.size(good)).cast("long").alias("n_unconfirmed"),
+        "doc_id", "n_paragraphs", F.size("good").cast("long").alias("n_licensed"),
+        F.size(alone).cast("long").alias("n_unconfirmed"),
         top["license"].alias("license"), (-top["back"]).alias("paragraph"), top["probability"].alias("probability"), top["similarity"].alias("similarity"),
     )
