@@ -1,11 +1,13 @@
 """Graph loops and folds against brute force, with nulls, repeats, cycles and empty tables."""
 
 import math
+import random
 from collections import defaultdict
 
 from pyspark.sql import functions as F
 
 from waymark.operators import cues, graphs
+from waymark.streaming import triggers
 
 EDGES = "u long, v long, length_m double"
 LINKS = [(1, 2, 5.0), (2, 3, 1.0), (1, 3, 9.0), (1, 2, 7.0), (5, 4, 2.0), (6, 6, 1.0), (None, 3, 1.0), (8, 9, 1.0), (9, 8, 1.0), (3, 10, 4.0)]
@@ -82,3 +84,25 @@ def test_cue_windows_of_routes_without_length(spark):
     routes = spark.createDataFrame([(1, 2500.0), (2, 0.0), (3, None)], "route_id long, route_m double")
     c = spark.createDataFrame([(1, 100.0), (1, 9000.0), (2, 5.0)], "route_id long, along_m double")
     assert as_dict(cues.cues_per_window(c, routes)) == {(1, 0): 1, (1, 1): 0, (1, 2): 1}
+
+
+def test_entry_triggers_of_a_hot_user_are_spread_over_tasks(spark):
+    rng = random.Random(4)
+    rows = [(1 if k % 3 else 2 + k % 50, k // 4, k, rng.random() < 0.5 + 0.4 * (k // 300 % 2)) for k in range(6000)]
+    rows += [(None, k, 10_000 + k, k % 8 < 5) for k in range(40)] + [(99, None, 20_000 + k, True) for k in range(3)] + [(98, 0, 30_000, None)]
+    want = []
+    for user in {r[0] for r in rows}:
+        inside, streak = False, 0
+        for _, sec, _, reading in sorted((r for r in rows if r[0] == user), key=lambda r: (r[1] is None, r[1], r[2])):
+            inside, streak, event = triggers.step(inside, streak, bool(reading))
+            want += [(user, sec, event)] if event else []
+    df = spark.createDataFrame(rows, "user_id long, sec long, event_id long, inside boolean").repartition(7)
+    df = df.select("user_id", F.timestamp_seconds("sec").alias("ts"), "event_id", "inside")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = triggers.entry_events(df)
+        rows_got = [tuple(r) for r in got.select("user_id", F.unix_seconds("ts"), "event").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted(rows_got, key=str) == sorted(want, key=str) and (99, None, "enter") in want
+    assert triggers.entry_events(df.filter("false")).count() == 0

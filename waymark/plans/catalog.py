@@ -443,5 +443,5 @@ def flt_qualification(spark, sf_dir):
 @query()
 def str_entry_triggers(spark, sf_dir):
     """Hysteresis over ordered readings keeps state, which SQL can't express."""
-    rows = load(spark, sf_dir, "v_sample").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "inside")
+    rows = load(spark, sf_dir, "v_sample").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "inside")
     return entry_events(rows)
