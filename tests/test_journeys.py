@@ -106,3 +106,9 @@ def test_entry_triggers_of_a_hot_user_are_spread_over_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert sorted(rows_got, key=str) == sorted(want, key=str) and (99, None, "enter") in want
     assert triggers.entry_events(df.filter("false")).count() == 0
+
+
+def test_longest_downstream_goes_on_until_no_node_is_ready(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "range", lambda n: iter((0, 1, 2)), raising=False)  # rounds that are counted end early
+    got = as_dict(graphs.longest_downstream(spark.createDataFrame([(i, i + 1, 1.0) for i in range(12)], EDGES)))
+    assert got == {i: 12.0 - i for i in range(13)}

@@ -52,16 +52,17 @@ def path_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:
     return known
 
 
-def longest_downstream(edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def longest_downstream(edges: DataFrame) -> DataFrame:
     """(id, length_m): the longest directed path that begins at each node of an acyclic graph; 0 where none leaves.
 
-    Nodes on a cycle, and nodes that lead into one, have no longest path: they get NaN.
+    Nodes on a cycle, and nodes that lead into one, have no longest path: they get NaN. Rounds go on until no node is
+    ready, one a hop of the longest path.
     """
     arcs = settle(edges.filter("u IS NOT NULL AND v IS NOT NULL").groupBy("u", "v").agg(F.max("length_m").alias("w")), "arcs")
     ids = arcs.select(F.col("u").alias("id")).unionByName(arcs.select(F.col("v").alias("id"))).distinct()
     degree = arcs.groupBy(F.col("u").alias("id")).agg(F.count(F.lit(1)).alias("open"))
     state = settle(ids.join(degree, "id", "left").select("id", F.coalesce("open", F.lit(0)).alias("open"), F.lit(0.0).alias("length_m"), F.lit(False).alias("done")), "longest")
-    for _ in range(rounds):
+    while True:
         ready = state.filter("open = 0 AND NOT done")
         if not ready.limit(1).count():
             break
