@@ -279,6 +279,17 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(small.filter("false")).count() == 0
 
 
+def test_mixing_takes_a_source_in_random_order(spark):
+    from waymark.llm.common import unit
+
+    docs = docs_of(spark, ["a b c d"] * 300).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
+    rows = mixing.mix(docs, lambda s: dict.fromkeys(s, 1.0)).withColumn("u", unit(F.md5(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))))).collect()
+    for s in "xy":
+        most = [r.copies for r in sorted((r for r in rows if r.source == s), key=lambda r: r.u)]
+        assert most == sorted(most, reverse=True) and len(set(most)) == 2
+    assert "simple random order within a source" in " ".join(mixing.mix.__doc__.split())
+
+
 def test_targets_are_capped_and_reshared():
     sizes = {"a": 10, "b": 1000, "c": 10, None: 980}
     got = mixing.targets(sizes, mixing.cycle_weights(list(sizes)))

@@ -1,4 +1,4 @@
-"""Mixing sources to target weights: whole copies first, then Pareto order sampling for the rest."""
+"""Mixing sources to target weights: whole copies first, then a random order within each source for the rest."""
 
 from __future__ import annotations
 
@@ -60,7 +60,8 @@ def mix(docs: DataFrame, weights=cycle_weights, most: float = MOST, seed: str =
     A document is expected in the mix target / source_size times. The whole part of that is certain; for the rest,
     documents are ranked within their source by u / (1 - u) * (1 - p) / p, with u a number from a digest of seed and
     id and p the inclusion probability, and taken until their words fill what the target still lacks, to the nearest
-    document. taken is copies * size.
+    document. taken is copies * size. p is the same for all documents of a source, so this Pareto order is that of u alone:
+    simple random order within a source.
 
     Null sources are a source of their own. Null ids share one u; ties go by size. Texts without words have size 0 and
     take nothing. Repeated rows are counted each. An empty table gives an empty result. Source names, one row each,
