@@ -15,8 +15,13 @@ def _own_folder(application: str) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; where that is unset, in one of our own."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
+    """A fresh path in the folder that spark.checkpoint.dir names. Where that is unset, a local session gets a folder of
+    its own; a session with executors on other machines can't share such a one, so it is asked to name a folder."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = _own_folder(spark.sparkContext.applicationId)
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
