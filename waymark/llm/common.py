@@ -2,88 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from functools import lru_cache
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.sources.scratch import settle
+
 #: A word: a run of characters other than ASCII white space. Java's and RE2's syntax agree on it.
 WORD = r"[^\x20\x09-\x0D]+"
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@lru_cache(maxsize=None)
-def _own_folder(application: str) -> str:
-    return tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder named in spark.checkpoint.dir; where that is unset, as in tests, one of our own."""
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_folder(spark.sparkContext.applicationId)
-
-
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: its lineage ends there, and lost executors cost a
     reread only. What it is used for has to be needed more than once."""
-    path = f"{scratch_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return settle(df, name)
+
+
+def small_batches(spark: SparkSession, most: str = "8m") -> None:
+    """Bound the Arrow batches that Python functions get by bytes, so that ten thousand long texts never come at once.
+    Spark's own bound, 64 MB for each of several buffers, is large for a small executor; a session's own choice stays."""
+    if spark.conf.get(BATCH_CONF) in ("64m", "64MB", "67108864b", "67108864"):
+        spark.conf.set(BATCH_CONF, most)
 
 
 def unit(key: Column) -> Column:
     """A number in (0, 1) from a hexadecimal digest: its first 13 digits, so every engine gives the same double."""
     return (F.conv(F.substring(key, 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-
-
-#: Buckets of each of the two levels of rank_cut.
-FAN = 256
-
-
-def rank_cut(rows: DataFrame, group: list[str], position: str, amount: str, quota: str, order: list[str]) -> DataFrame:
-    """Mark, in each group, the rows that come first by position until their amounts reach the quota.
-
-    position is a double in [0, 1], the first sort key; order names the keys that break ties. amount is a count (long);
-    quota, a double, is the same on all rows of a group. Adds `chosen`: true if the amounts before a row plus half of
-    its own don't exceed the quota, so the chosen amounts end as near to the quota as whole rows allow.
-
-    No group is gathered in one task: amounts are first summed by 65,536 buckets of position, in two levels of 256,
-    and only the rows of the one bucket in which a group's quota ends are put in order.
-    """
-    g = [F.col(c) for c in group]
-    at = F.least(F.lit(FAN * FAN - 1), F.floor(F.col(position) * FAN * FAN)).cast("int")
-    rows = rows.withColumn("_at", at)
-    fine = rows.groupBy(*g, "_at").agg(F.sum(amount).alias("_sum"), F.first(quota).alias("_quota"))
-    coarse = fine.groupBy(*g, F.floor(F.col("_at") / FAN).cast("int").alias("_hi")).agg(
-        F.sum("_sum").alias("_sum"), F.first("_quota").alias("_quota")
-    )
-
-    def crossing(steps: DataFrame, key: str, start: Column) -> DataFrame:
-        """The step of each group in which the quota ends, with the amount before it."""
-        before = F.sum("_sum").over(Window.partitionBy(*group).orderBy(key).rowsBetween(Window.unboundedPreceding, -1))
-        steps = steps.withColumn("_before", F.coalesce(before, F.lit(0)) + start)
-        return steps.filter((F.col("_before") <= F.col("_quota")) & (F.col("_before") + F.col("_sum") > F.col("_quota")))
-
-    high = crossing(coarse, "_hi", F.lit(0)).select(*group, F.col("_hi"), F.col("_before").alias("_start"))
-    low = fine.alias("f").join(high.alias("h"), [*same_keys("f", "h", group), F.floor(F.col("f._at") / FAN) == F.col("h._hi")])
-    low = low.select(*[F.col(f"f.{c}").alias(c) for c in group], "_at", "_sum", "_quota", "_start")
-    cut = crossing(low, "_at", F.col("_start")).select(*group, F.col("_at").alias("_cut"), F.col("_before").alias("_start"))
-    # The cut table has one row for each group: groups are sources or tiers, not documents.
-    marked = rows.alias("r").join(cut.alias("c"), same_keys("r", "c", group), "left").select("r.*", "_cut", "_start")
-    edge = marked.filter(F.col("_at") == F.col("_cut"))
-    w = Window.partitionBy(*group).orderBy(position, *order).rowsBetween(Window.unboundedPreceding, -1)
-    ahead = F.coalesce(F.sum(amount).over(w), F.lit(0)) + F.col("_start")
-    edge = edge.withColumn("chosen", 2 * ahead + F.col(amount) <= 2 * F.col(quota))
-    rest = marked.filter(F.col("_cut").isNull() | (F.col("_at") != F.col("_cut")))
-    # Without a cut, the quota is beyond the group's whole amount, or below nothing.
-    rest = rest.withColumn("chosen", F.coalesce(F.col("_at") < F.col("_cut"), F.col(quota) >= 0))
-    return edge.unionByName(rest).drop("_at", "_cut", "_start")
-
-
-def same_keys(a: str, b: str, keys: list[str]) -> list[Column]:
-    """Equality that also joins null with null."""
-    return [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in keys]
