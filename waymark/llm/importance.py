@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -10,14 +11,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
-from .quality_rules import calibrate
+from .common import materialize, small_batches
 from .words import mix64
 
 #: Buckets of the hashed n-grams, and bytes of an n-gram.
 SLOTS, GRAM = 1 << 16, 4
-#: Sharpness of the weights: log weights of labelled target and other text lie about so far apart.
-SPREAD = 60.0
+#: The share of documents to keep is the labelled share of quality 1 and so many standard errors more, since a clean
+#: document lost is dearer than a poor one kept.
+ERRORS = 2.0
 
 
 def gram_slots(text: str | None) -> np.ndarray:
@@ -52,33 +53,30 @@ def gram_counts(docs: DataFrame) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Importance:
-    """log p_target - log p_raw for each bucket; the least score of text like the target's, and how steeply the log
-    weight rises with the score."""
+    """log p_target - log p_raw for each bucket, and the share of documents to keep."""
 
     ratio: np.ndarray
-    threshold: float
-    slope: float
+    share: float
 
     def scores(self, texts: pa.Array) -> np.ndarray:
-        """The mean log ratio over the n-grams of each text; texts without any have -inf."""
-        out = np.full(len(texts), -np.inf)
-        for i, text in enumerate(texts):
-            slots = gram_slots(text.as_py())
-            if len(slots):
-                out[i] = self.ratio[slots].mean()
-        return out
+        """Log importance weights: the log probability of each text's n-grams under the target's model less that under
+        the raw text's. A text without n-grams has 0: both models give it probability 1."""
+        return np.array([self.ratio[gram_slots(text.as_py())].sum() for text in texts], float)
 
     def keys(self, ids: pa.Array, scores: np.ndarray) -> np.ndarray:
-        """Gumbel keys: log weight plus noise that depends on the id alone, so that reruns agree."""
+        """Gumbel keys: log weight plus noise that depends on the id alone, so that reruns agree. The documents of the k
+        largest keys are a sample of k without replacement by these weights."""
         i = np.array(ids.fill_null(-1), np.int64).view(np.uint64)
         u = ((mix64(i ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(12)).astype(float) + 0.5) / 2.0**52
-        return self.slope * (scores - self.threshold) - np.log(-np.log(u))
+        return scores - np.log(-np.log(u))
 
 
 def fit_importance(docs: DataFrame, labels: DataFrame, bound: int = 10_000) -> Importance | None:
-    """Raw counts come from all of docs; the target's from labelled documents of quality 1, and the threshold from all
-    labelled ones, at most `bound` of them (the ids that hash lowest). None if no labelled document is of quality 1
-    or docs have no text. Null ids, texts and labels are passed over."""
+    """Raw counts come from all of docs; the target's from labelled documents of quality 1. The share to keep is the
+    share of these among the labelled documents that docs hold, plus ERRORS standard errors. At most `bound` labelled
+    documents are used (the ids that hash lowest). None if none of them is of quality 1 or docs have no text. Null ids,
+    texts and labels are passed over."""
+    small_batches(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
         .filter("doc_id is not null and quality is not null")
@@ -91,29 +89,18 @@ def fit_importance(docs: DataFrame, labels: DataFrame, bound: int = 10_000) -> I
     if not target.any() or not raw.any():
         return None
     smooth = lambda n: np.log((n + 1.0) / (n.sum() + SLOTS))
-    model = Importance(smooth(target) - smooth(raw), 0.0, 1.0)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(model.scores(batch.column("text")))], names=["quality", "score"])
-
-    got = sample.select("quality", "text").mapInArrow(run, "quality int, score double").limit(2 * bound).collect()
-    score, clean = np.array([r.score for r in got]), np.array([r.quality == 1 for r in got])
-    score, clean = score[np.isfinite(score)], clean[np.isfinite(score)]
-    # calibrate() has the least cost of a threshold above which rows are junk.
-    threshold = -calibrate(-score, clean)
-    apart = float(np.median(score[clean]) - np.median(score[~clean])) if (~clean).any() else 0.0
-    return Importance(model.ratio, threshold, SPREAD / max(apart, 1e-3))
+    clean, n = sample.agg(F.count(F.when(F.col("quality") == 1, 1)), F.count(F.lit(1))).first()
+    share = clean / n
+    return Importance(smooth(target) - smooth(raw), min(1.0, share + ERRORS * (share * (1 - share) / n) ** 0.5))
 
 
 def score(docs: DataFrame, model: Importance) -> DataFrame:
-    """doc_id, score, key for each row of docs; texts of fewer than GRAM bytes have null for both."""
+    """doc_id, score (log importance weight), key for each row of docs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = model.scores(batch.column("text"))
-            k, none = model.keys(batch.column("doc_id"), s), ~np.isfinite(s)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s, mask=none), pa.array(k, mask=none)], names=["doc_id", "score", "key"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(model.keys(batch.column("doc_id"), s))], names=["doc_id", "score", "key"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id bigint, score double, key double"
@@ -149,14 +136,18 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
 
 
 def resample(docs: DataFrame, model: Importance | None) -> tuple[DataFrame, float]:
-    """(scored rows with `kept`, the least key kept): Gumbel top-k, where k is the number of documents whose score
-    reaches the model's threshold, counted over all of docs. Without a model every row is kept."""
+    """(doc_id, score, key and kept for each row of docs, the least key kept): Gumbel top-k with k = ceil(share * rows).
+
+    Null texts and texts shorter than an n-gram weigh 1 (score 0); null ids share one noise; keys equal to the k-th are all
+    kept, so repeated rows are kept or rejected together; other columns aren't read. Without a model every row is kept,
+    with null scores and keys.
+    """
     if model is None:
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.lit(None).cast("double").alias("score"), F.lit(None).cast("double").alias("key"), F.lit(True).alias("kept")), float("-inf")
+    small_batches(docs.sparkSession)
     rows = materialize(score(docs, model), "scores")
-    some = rows.filter("key is not null")
-    cut = kth_largest(some, "key", some.filter(F.col("score") >= model.threshold).count())
-    return rows.withColumn("kept", F.coalesce(F.col("key") >= F.lit(cut), F.lit(False))), cut
+    cut = kth_largest(rows, "key", math.ceil(model.share * rows.count()))
+    return rows.withColumn("kept", F.col("key") >= F.lit(cut)), cut
 
 
 def keep_sampled(docs: DataFrame, model: Importance | None) -> DataFrame:
