@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 #: ASCII white space, as in common.WORD; the same that bytes.split() takes.
 SPACE = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -180,7 +182,8 @@ def calibrate(score: np.ndarray, clean: np.ndarray, price: float = 30.0) -> floa
 
 
 def fit_quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 10_000) -> QualityRules:
-    """Fit the forest on clean labelled rows (quality 1) and set its threshold from all labelled ones.
+    """Fit the forest on labelled rows without their labels, the anomalous ones among them, and set its threshold from the
+    labels.
 
     At most `bound` labelled documents are used: those whose ids hash lowest. Null ids, texts or labels are passed
     over; so are rows that the base rules reject, on which the forest has no say. The sample is joined as a
@@ -201,7 +204,7 @@ def fit_quality_rules(docs: DataFrame, labels: DataFrame, bound: int = 10_000) -
     x = np.array([r.features for r in got], float).reshape(len(got), len(FEATURES))
     if not clean.any():
         return QualityRules(None, float("inf"))
-    forest = fit_forest(x[clean])
+    forest = fit_forest(x)
     return QualityRules(forest, calibrate(forest.score(x), clean))
 
 
@@ -211,6 +214,7 @@ def judge(docs: DataFrame, model: QualityRules) -> DataFrame:
     Null texts count as empty, and fail the base rules; null ids stay null; repeated rows give repeated rows; other
     columns are not looked at.
     """
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,6 +231,7 @@ def judge(docs: DataFrame, model: QualityRules) -> DataFrame:
 
 def keep_good(docs: DataFrame, model: QualityRules) -> DataFrame:
     """The rows of docs, with all their columns, that `judge` keeps."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
