@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
+from .common import materialize, small_batches
 from .url_filters import host_of, path_of
 
 #: Comments, declarations and elements whose content is no text; then any tag.
@@ -32,9 +35,9 @@ _MAIN = frozenset(("article", "main"))
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark what isn't main text.
 _SIDE_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|replies|disqus|"
+    r"(?:^|(?<=[\s_-]))(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|replies|disqus|"
     r"cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|search|toolbar|"
-    r"pagination|pager|skip-link|complementary|contentinfo|navigation)(?:$|[\s_-])",
+    r"pagination|pager|skip-link|complementary|contentinfo|navigation)(?=$|[\s_-])",
     re.I,
 )
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
@@ -43,41 +46,43 @@ _SPACE = re.compile(r"\s+")
 
 @dataclass(frozen=True)
 class Page:
-    """Text blocks in page order, whether each is in an element that marks main text, and whether any is."""
+    """Text blocks in page order; whether each is in an element that marks main text, and whether in one that is never
+    main text."""
 
     lines: tuple[str, ...]
     main: tuple[bool, ...]
-
-    @property
-    def marked(self) -> bool:
-        return any(self.main)
+    side: tuple[bool, ...]
 
 
 def parse(html: str | None) -> Page:
-    """The blocks of a page but for menus, forms and other elements that are never main text. Character references are
-    decoded and white space becomes one space; null is an empty page. Unclosed elements end with the one around them.
+    """The blocks of a page. Character references are decoded and white space becomes one space; null is an empty page.
+    Unclosed elements end with the one around them.
 
     What is left out by its class, id or role alone, like a layout "has-sidebar", may hold the main text: an article or
-    main in it that isn't within main text already begins it again, but for an article whose own names say otherwise."""
+    main in it that isn't within main text already begins it again, but for an article whose own names say otherwise.
+    A header within main text is that text's own."""
     html = html or ""
     lines: list[str] = []
     main: list[bool] = []
-    text: list[str] = []
+    side: list[bool] = []
+    text: tuple[list[str], list[str]] = ([], [])  # of the block, and of what is left out within it
     stack: list[tuple[str, int, bool]] = []  # element, within what is left out (1: by its names alone), within main text
     out, inside = 0, False
 
     def end_block() -> None:
-        if text:
-            line = _SPACE.sub(" ", unescape("".join(text))).strip()
-            text.clear()
-            if line:
-                lines.append(line)
-                main.append(inside)
+        for aside, parts in enumerate(text):
+            if parts:
+                line = _SPACE.sub(" ", unescape("".join(parts))).strip()
+                parts.clear()
+                if line:
+                    lines.append(line)
+                    main.append(inside and not aside)
+                    side.append(bool(aside))
 
     at = 0
     for m in _MARKUP.finditer(html):
-        if not out and m.start() > at:
-            text.append(html[at : m.start()])
+        if m.start() > at:
+            text[out > 0].append(html[at : m.start()])
         at = m.end()
         name = (m[3] or "").lower()
         if not name:
@@ -85,7 +90,7 @@ def parse(html: str | None) -> Page:
         if name in _BLOCKS:
             end_block()
         elif name == "br":
-            text.append(" ")
+            text[out > 0].append(" ")
         if m[2]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
@@ -96,23 +101,24 @@ def parse(html: str | None) -> Page:
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # its end tag is left out
                 out, inside = stack[-1][1:] if stack else (0, False)
-            named = name not in ("html", "body") and any(_SIDE_WORDS.search(a or b or c) for a, b, c in _NAMES.findall(m[4]))
+            named = name not in ("html", "body") and any(
+                word for a, b, c in _NAMES.findall(m[4]) for word in _SIDE_WORDS.findall(a or b or c) if not (inside and word.lower() == "header")
+            )
             if name not in _MAIN:
-                out = max(out, 2 if name in _ASIDE else int(named))
+                out = max(out, 2 if name in _ASIDE and not (inside and name == "header") else int(named))
             elif out == 1 and not inside and not (named and name == "article"):
                 out = 0
             inside = inside or name in _MAIN
             stack.append((name, out, inside))
-    if not out:
-        text.append(html[at:])
+    text[out > 0].append(html[at:])
     end_block()
-    return Page(tuple(lines), tuple(main))
+    return Page(tuple(lines), tuple(main), tuple(side))
 
 
-def common_lines(a: tuple[str, ...], b: tuple[str, ...]) -> list[int]:
+def common_lines(a: tuple, b: tuple) -> list[int]:
     """The places in a of a longest common subsequence of two lists of lines. Rows of the table are whole numbers of
     len(a) bits, so that long pages take len(b) steps over bits and not len(a) * len(b)."""
-    where: dict[str, int] = {}
+    where: dict[object, int] = {}
     for i, line in enumerate(a):
         where[line] = where.get(line, 0) | 1 << i
     every = (1 << len(a)) - 1
@@ -142,87 +148,182 @@ def nearest(path: str, before: str | None, after: str | None) -> int:
     return 0 if max(alike) < 0 else -1 if alike[0] >= alike[1] else 1
 
 
-def main_text(page: Page, other: Page | None) -> str:
-    """The lines of a page that its nearest page doesn't share, joined by empty lines.
+def kept_lines(page: Page, shared: Collection[int]) -> list[int]:
+    """The lines that a page's main text consists of: those that it doesn't share with its nearest page and that no
+    element marks as something else. An article may quote what another page of the host quotes, or be a copy of it, so
+    shared lines that the page itself marks as main text are restored."""
+    return [k for k in range(len(page.lines)) if page.main[k] or not (page.side[k] or k in shared)]
+
+
+def main_text(page: Page, shared: Collection[int]) -> str:
+    return "\n\n".join(page.lines[k] for k in kept_lines(page, shared))
+
+
+_DIGEST = "k1 bigint, k2 bigint"
+_ROW = f"{_DIGEST}, host string, path string, lines array<bigint>"
+
+
+def digests(pages: DataFrame) -> DataFrame:
+    """pages (url, html) with a digest of both of 128 bits as k1 and k2."""
+    url, html = F.col("url").cast("string"), F.col("html").cast("string")
+    return pages.withColumns({"k1": F.xxhash64(url, html), "k2": F.xxhash64(F.lit("k2"), html, url)})
+
+
+def outlines(pages: DataFrame) -> DataFrame:
+    """k1, k2, host, path and lines (a digest of each line) of every different page that has a line."""
 
-    Where the page itself marks its main text, lines inside that mark stay (an article may quote what another page of
-    the host quotes, or be a copy of it), and lines outside it go.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lines = [[xxh64_intdigest(x) - (1 << 63) for x in parse(html.as_py()).lines] for html in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("k1", "k2", "host", "path")), pa.array(lines, pa.list_(pa.int64()))], names=["k1", "k2", "host", "path", "lines"])
+
+    url = F.col("url").cast("string")
+    rows = digests(pages).select("k1", "k2", host_of(url).alias("host"), path_of(url).alias("path"), F.col("html").cast("string").alias("html"))
+    return rows.mapInArrow(run, _ROW).filter("size(lines) > 0").dropDuplicates(["k1", "k2"])
+
+
+def shared_lines(rows: DataFrame) -> DataFrame:
+    """k1, k2 and shared (the numbers of the lines in a longest common subsequence with the nearest page) of outlines.
+
+    Outlines are put in order of host, path and digest by ranges, so that a host of any size is spread over tasks. A
+    page's nearest one is that neighbour on its host whose path begins most like its own. Pages in a row that have the
+    same lines, such as mirrors, are one page here: their neighbours are the next pages that differ. A task settles all
+    its pages but for the first and the last run of these; of each task's outer runs, at most four, the driver finds out
+    from digests which are neighbours across the borders, so the result doesn't depend on where these lie.
     """
-    shared = set(common_lines(page.lines, other.lines)) if other else set()
-    marked = page.marked
-    return "\n\n".join(line for k, line in enumerate(page.lines) if page.main[k] or (not marked and k not in shared))
+    spark = rows.sparkSession
+    order = ["host", "path", "k1", "k2"]
+    fields = f"part int, run int, kind string, {_ROW}, first_path string, shared array<int>"
+    names = [f.split()[0] for f in fields.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, out = TaskContext.get().partitionId(), []
+
+        def record(kind: str, i: int, row: tuple, first_path: str | None = None, shared: list[int] | None = None) -> None:
+            k1, k2, host, path, lines = row
+            out.append((part, i, kind, k1, k2, host, path, None if kind == "done" else lines, first_path, shared))
+
+        def edge(i: int, same: list[tuple]) -> None:
+            record("edge", i, same[-1], same[0][3])
+
+        def opened(i: int, same: list[tuple]) -> None:
+            for row in same:
+                record("open", i, row)
+
+        def settled(i: int, before: list[tuple] | None, same: list[tuple], after: list[tuple]) -> None:
+            finish = shares(*((x[at][2] == same[0][2] and (x[at][3], x[at][4])) or None for x, at in ((before, -1), (after, 0))))
+            for row in same:
+                record("done", i, row, shared=finish(row[3], row[4]))
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            schema = {"kind": pa.string(), "host": pa.string(), "path": pa.string(), "first_path": pa.string(), "lines": pa.list_(pa.int64()), "shared": pa.list_(pa.int32()), "k1": pa.int64(), "k2": pa.int64()}
+            for at in range(0, len(out), 4096):
+                part_of = out[at : at + 4096]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in part_of], schema.get(n, pa.int32())) for c, n in enumerate(names)], names=names)
+            out.clear()
+
+        runs: list[list[tuple]] = []  # the last three
+        i = -1
+
+        def close() -> None:
+            """The newest run has all its rows."""
+            if i in (0, 1):
+                edge(i, runs[-1])
+            if i == 0:
+                opened(0, runs[-1])
+            if i >= 2:
+                settled(i - 1, *runs)
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("k1", "k2", "host", "path", "lines")), strict=True):
+                row = (*row[:4], tuple(row[4]))
+                if runs and runs[-1][0][2] == row[2] and runs[-1][0][4] == row[4]:
+                    runs[-1].append((*row[:4], runs[-1][0][4]))
+                    continue
+                if runs:
+                    close()
+                runs, i = [*runs[-2:], [row]], i + 1
+            if len(out) > 4096:
+                yield from flush()
+        if runs:
+            close()
+            if i >= 1:
+                opened(i, runs[-1])
+            for k in (i - 1, i):
+                if k > 1:
+                    edge(k, runs[k - i - 1])
+        yield from flush()
+
+    passed = materialize(rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, fields), "page-runs")
+    edges = passed.filter("kind = 'edge'")
+    known = edges.select("part", "run", "host", "path", "first_path", F.md5(F.to_json("lines")).alias("digest")).orderBy("part", "run").collect()
+    near = []  # part, run, and for each side part and run of the neighbour
+    for n, own in enumerate(known):
+        found: list[int | None] = []
+        for step in (-1, 1):
+            k = n + step
+            while 0 <= k < len(known) and known[k].host == own.host and known[k].digest == own.digest:
+                k += step
+            found += [known[k].part, known[k].run] if 0 <= k < len(known) and known[k].host == own.host else [None, None]
+        near.append((own.part, own.run, *found))
+    table = spark.createDataFrame(near, "part int, run int, bp int, br int, ap int, ar int")
+    before = edges.select(F.col("part").alias("bp"), F.col("run").alias("br"), F.col("path").alias("before"), F.col("lines").alias("before_lines"))
+    after = edges.select(F.col("part").alias("ap"), F.col("run").alias("ar"), F.col("first_path").alias("after"), F.col("lines").alias("after_lines"))
+    opened = passed.filter("kind = 'open'").join(table, ["part", "run"]).join(before, ["bp", "br"], "left").join(after, ["ap", "ar"], "left")
+
+    def border(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = (batch.column(c).to_pylist() for c in ("path", "lines", "before", "before_lines", "after", "after_lines"))
+            known, finish, shared = None, None, []
+            for path, lines, *ends in zip(*cols, strict=True):
+                if ends != known:
+                    known, finish = ends, shares(*((ends[k], tuple(ends[k + 1])) if ends[k + 1] is not None else None for k in (0, 2)))
+                shared.append(finish(path, tuple(lines)))
+            yield pa.RecordBatch.from_arrays([batch.column("k1"), batch.column("k2"), pa.array(shared, pa.list_(pa.int32()))], names=["k1", "k2", "shared"])
+
+    opened = opened.select("k1", "k2", "path", "lines", "before", "before_lines", "after", "after_lines").mapInArrow(border, f"{_DIGEST}, shared array<int>")
+    return passed.filter("kind = 'done'").select("k1", "k2", "shared").unionByName(opened)
+
+
+def shares(before: tuple | None, after: tuple | None):
+    """A function that gives the lines which a page (path, lines) shares with the nearer of two (path, lines)."""
+    seen: dict[tuple, list[int]] = {}
+
+    def finish(path: str, lines: tuple) -> list[int]:
+        side = nearest(path, *(x[0] if x else None for x in (before, after)))
+        key = (side, lines)
+        if key not in seen:
+            seen.clear()  # rows in a row have the same lines
+            seen[key] = common_lines(lines, (before if side < 0 else after)[1]) if side else []
+        return seen[key]
+
+    return finish
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """page_id, url, text, n_chars (code points) for each row of pages; other columns aren't read.
-
-    Pages are put in order of host, path, content and id by ranges, so a host of any size is spread over tasks, and each
-    is compared with the neighbour of its host whose path begins most like its own. Rows in a row that have the same
-    lines, repeated ones, mirrors and copies at other paths, are one page here: their neighbours are the next pages that
-    differ, and without any all their lines stay. At the border of two tasks only the neighbour on this side is looked
-    at. Three different pages are held at a time, and the urls of the rows of one. Null pages give an empty text, null
-    urls count as one host without a name.
+    """page_id, url, text, n_chars (code points), n_lines, n_shared, n_restored for each row of pages; other columns aren't
+    read.
+
+    Every page's lines are compared with those of the nearest page of its host that differs (`shared_lines`): n_shared of
+    its n_lines are also there, and are deleted, but for n_restored that the page marks as its main text. Only digests of
+    lines are put in order; the numbers of shared lines are joined back to the pages by a digest of url and html. Null
+    pages give an empty text, null urls count as one host without a name. Repeated rows are one page, and give repeated
+    rows.
     """
-    url = F.col("url").cast("string")
-    rows = pages.select("page_id", url.alias("url"), F.col("html").cast("string").alias("html"), host_of(url).alias("host"), path_of(url).alias("path"))
-    rows = rows.withColumn("content", F.xxhash64("html"))
-    order = ["host", "path", "content", "page_id"]
-    rows = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    small_batches(pages.sparkSession)
+    kind = dict(pages.dtypes)["page_id"]
+    shared = shared_lines(outlines(pages))
+    url, html = F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")
+    rows = digests(pages).select("page_id", url, html, "k1", "k2").join(shared, ["k1", "k2"], "left").select("page_id", "url", "html", "shared")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def alike() -> Iterator[tuple]:
-            """Host and rows (id, url, path, page) of each run of equal lines within a host."""
-            name, same = None, []
-            for batch in batches:
-                cols = [batch.column(c) for c in ("page_id", "url", "host", "path", "html")]
-                for k in range(len(batch)):
-                    i, u, host, path, html = (c[k].as_py() for c in cols)
-                    page = parse(html)
-                    if same and (host != name or page.lines != same[-1][3].lines):
-                        yield name, same
-                        same = []
-                    if same and page == same[-1][3]:
-                        page = same[-1][3]  # copies are held once
-                    name = host
-                    same.append((i, u, path, page))
-            if same:
-                yield name, same
-
-        def finish(before, now, after) -> Iterator[tuple]:
-            host, same = now
-            ends = [x and x[0] == host and x[1][at] for x, at in ((before, -1), (after, 0))]
-            page, texts = None, {}
-            for i, u, path, own in same:
-                if own is not page:
-                    page, texts = own, {}
-                side = nearest(path, *(x[2] if x else None for x in ends))
-                if side not in texts:
-                    texts[side] = main_text(page, ends[side > 0][3] if side else None)
-                yield i, u, texts[side]
-
-        def rows_of() -> Iterator[tuple]:
-            before = now = None
-            for after in alike():
-                if now:
-                    yield from finish(before, now, after)
-                    now = now[0], now[1][-1:]
-                before, now = now, after
-            if now:
-                yield from finish(before, now, None)
-
-        out: list[tuple] = []
-        for row in rows_of():
-            out.append(row)
-            if len(out) >= 256:
-                yield batch_of(out)
-                out = []
-        yield batch_of(out)
-
-    kind = dict(rows.dtypes)["page_id"]
-
-    def batch_of(out: list[tuple]) -> pa.RecordBatch:
-        n = pa.array([len(t) for _, _, t in out], pa.int64())
-        ids = pa.array([r[0] for r in out], pa.int64() if kind == "bigint" else None)
-        return pa.RecordBatch.from_arrays([ids, pa.array([r[1] for r in out], pa.string()), pa.array([r[2] for r in out], pa.string()), n], names=["page_id", "url", "text", "n_chars"])
-
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint")
+        for batch in batches:
+            texts, counts = [], []
+            for html, same in zip(batch.column("html"), batch.column("shared").to_pylist(), strict=True):
+                page, same = parse(html.as_py()), set(same or ())
+                texts.append(main_text(page, same))
+                counts.append((len(texts[-1]), len(page.lines), len(same), sum(page.main[k] for k in same)))
+            numbers = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)]
+            yield pa.RecordBatch.from_arrays([batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string()), *numbers], names=["page_id", "url", "text", "n_chars", "n_lines", "n_shared", "n_restored"])
+
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string, n_chars bigint, n_lines bigint, n_shared bigint, n_restored bigint")
