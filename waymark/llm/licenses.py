@@ -38,6 +38,21 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
         "You should have received a copy of the GNU General Public License along with this program.",
         "SPDX-License-Identifier: GPL-3.0-or-later",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License",
+        "SPDX-License-Identifier: GPL-2.0-only",
+    ),
+    "LGPL": (
+        "This work is licensed under the GNU Lesser General Public License.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+    ),
     "BSD": (
         "Released under the BSD License.",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -163,7 +178,7 @@ def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
     a row are judged together as well, if all have words: of the first and the last line as many words as the longest
     template has, of those between no more than that. license is the family of the most probable paragraph or run of
     them whose probability reaches the model's threshold and which a template of that family confirms (similarity: share
-    of the template's n-grams in it); else null, the unknown class; paragraph is the number of its first line. Of runs
+    of the template's n-grams in it, 0 if a number of the template's isn't there); else null, the unknown class; paragraph is the number of its first line. Of runs
     that hold each other or overlap and have the same family, the shorter or else the first counts. n_unconfirmed counts
     paragraphs that reach the threshold by themselves without a template like them, and aren't in a run that counts.
     Ties go to the first paragraph. Null and empty texts have no paragraph. Built-in functions only, without a shuffle:
@@ -228,7 +243,11 @@ def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
         shares = []
         for template in TEMPLATES[model.families[k]]:
             own = sorted(grams_of(template))
-            shares.append(F.size(F.array_intersect(p["grams"], _literal(own))) / F.lit(float(len(own))))
+            share = F.size(F.array_intersect(p["grams"], _literal(own))) / F.lit(float(len(own)))
+            # A notice of another version isn't like the template, however many words they share.
+            version = sorted({w for w in words_of(template) if w.isdigit()})
+            same = F.size(F.array_intersect(p["grams"], _literal(version))) == len(version) if version else F.lit(True)
+            shares.append(F.when(same, share).otherwise(0.0))
         return F.greatest(*shares)
 
     def decided(p: Column) -> Column:
