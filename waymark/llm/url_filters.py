@@ -17,12 +17,22 @@ RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com
 
 #: Words that hosts and paths of unwanted and of ordinary pages are made of.
 UNWANTED = (
-    "casino-win casino poker-online free-bets betting jackpot slots-bonus cheap-pills pharma-discount viagra-shop adult-x xxx-videos "
-    "porn-tube hot-dates ads-track adserver clicktracker popup-ads spam-farm link-farm seo-backlinks payday-loans win-prizes warez-crack"
+    "casino casino-win poker-online poker free-bets betting bets jackpot slots-bonus slot-machine roulette lottery gambling sportsbook "
+    "cheap-pills pharma-discount pharmacy-online viagra-shop cialis diet-pills weight-loss-pills steroids replica-watches replica-bags fake-rolex "
+    "adult-x xxx-videos xxx porn-tube porn sex-chat sexcams nude-cams escorts hot-dates hookup-dating milf-cams erotic "
+    "ads ads-track adserver adsystem doubleclick clicktracker clickbait popup-ads popunder banner-ads affiliate-links tracker redirect-click "
+    "spam spam-farm link-farm seo-backlinks buy-backlinks buy-followers cheap-traffic payday-loans fast-cash-loans debt-relief win-prizes free-iphone "
+    "free-gift-cards survey-rewards crypto-giveaway bitcoin-doubler forex-signals get-rich-quick warez warez-crack keygen serial-crack cracked-apps "
+    "torrent-download nulled-scripts hacked-accounts phishing malware-download fake-antivirus cheap-essays essay-mill"
 ).split()
 ORDINARY = (
-    "news daily library university docs manual recipes garden history science journal weather museum city-council school travel music "
-    "forum wiki archive review health tutorial photos books engineering market report research culture radio theatre nature sports"
+    "news daily daily-news library public-library university docs documentation manual manuals recipes cooking garden gardening history science journal "
+    "weather museum art-museum city-council town-hall school high-school college travel hiking music orchestra forum wiki encyclopedia archive archives "
+    "review book-review health health-service clinic tutorial tutorials photos photography books bookshop engineering market farmers-market report reports "
+    "research research-institute culture radio theatre cinema nature wildlife sports football-club cycling chess astronomy physics chemistry biology "
+    "mathematics medicine hospital law-school parliament ministry embassy railway transport airport maps geography poetry novels magazine gazette herald "
+    "times tribune observer blog my-blog notes diary kitchen bakery restaurant hotel camping village parish-church monastery foundation charity volunteers "
+    "software-development open-source code-review data-science statistics education kindergarten language-course dictionary translation philosophy"
 ).split()
 ENDINGS = ("example.com", "example.net", "example.org", "test.invalid")
 SYLLABLES = "th er an in on re at ti st en or es ou ha ed nd the tion ing ble ly sh wh".split()
@@ -84,7 +94,7 @@ def _fit(application: str) -> tuple[tuple[float, ...], float]:
 
 
 def fit_urls(spark: SparkSession) -> tuple[tuple[float, ...], float]:
-    """The model (weight of each slot, bias), from the labelled table of about 300 rows. Its features come from the
+    """The model (weight of each slot, bias), from the labelled table of some 600 rows. Its features come from the
     same expressions that score."""
     return _fit(spark.sparkContext.applicationId)
 
