@@ -82,6 +82,10 @@ def test_near_duplicates_on_the_small_table(spark):
 
 
 def test_near_duplicates_of_repeated_and_null_rows(spark):
+    two = [(1, "a b c d e f"), (2, "u v w x y z"), (3, "p q r s t"), (5, "u v w x y z"), (5, "a b c d e f"), (5, None)]
+    for rows in (two, two[::-1]):  # an id with two texts links what both link with
+        got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert Counter((r.doc_id, r.component_id) for r in got) == Counter({(1, 1): 1, (2, 1): 1, (3, 3): 1, (5, 1): 3})
     rows = [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (9, "a b c d e f")]
     got = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in got) == [(-1, None, True), (5, 5, True), (5, 5, True), (9, 5, False)]
@@ -116,7 +120,9 @@ def test_token_counts_are_the_library_s(spark):
 def test_long_texts_are_split_safely():
     encoder = tokens.load(BPE)
     text = " ".join(f"wörd{k},\n x" for k in range(400))
-    assert b"".join(b"".join(encoder._join([tokens.cut(p)])) for p in tokens.windows(text, 50)) == encoder.encode(text)
+    for t in (text, "漢字、" * 300, "x" * 500):
+        want = encoder.library.encode(t, add_special_tokens=False).ids
+        assert [i for p in tokens.windows(t, 50) for i in encoder.encode(p)] == want == encoder.encode(t).tolist()
 
 
 def test_packing_round_trip(spark):
@@ -225,29 +231,69 @@ def test_forest_on_held_out_labels(spark):
     rows = held_out(spark, lambda d, y: quality_rules.judge(d, quality_rules.fit_quality_rules(d, y)))
     clean = [r.kept for r in rows if r.quality == 1 and not r.base_failed]
     junk = [r.kept for r in rows if r.quality == 0]
-    assert np.mean(clean) > 0.97 and np.mean(junk) < 0.3
+    assert np.mean(clean) > 0.99 and np.mean(junk) < 0.05 and sum(r.quality == 0 and not r.base_failed for r in rows) > 50
 
 
 def test_importance_on_held_out_labels(spark):
     rows = held_out(spark, lambda d, y: importance.resample(d, importance.fit_importance(d, y))[0])
-    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.95
-    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.3
+    assert np.mean([r.kept for r in rows if r.quality == 1]) > 0.98
+    assert np.mean([r.kept for r in rows if r.quality == 0]) < 0.1
 
 
-def test_importance_is_a_top_k(spark):
+def test_importance_against_an_independent_model(spark):
     small, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    texts = [r.text or "" for r in small.orderBy("doc_id").collect()]
+    good = {r.doc_id: r.quality for r in labels.collect()}
+    ids = [r.doc_id for r in small.orderBy("doc_id").collect()]
+
+    def grams(t):
+        b = t.encode()
+        return [(int.from_bytes(b[i : i + 4], "big") * 0x9E3779B1 % 2**32) >> 16 for i in range(len(b) - 3)]
+
+    raw, target = Counter(), Counter()
+    for i, t in zip(ids, texts, strict=True):
+        raw.update(g := grams(t))
+        target.update(g if good.get(i) == 1 else [])
+    log_p = lambda c, g: np.log((c[g] + 1) / (sum(c.values()) + 65536))
+    ratio = {g: log_p(target, g) - log_p(raw, g) for g in raw}
     model = importance.fit_importance(small, labels)
-    df = docs_of(spark, odd_texts() + [r.text for r in small.collect()], extra=True)
-    rows, cut = importance.resample(df, model)
-    got = rows.collect()
-    k = sum(r.score is not None and r.score >= model.threshold for r in got)
-    best = sorted((r.key for r in got if r.key is not None), reverse=True)[:k]
-    assert cut == best[-1] and {r.doc_id for r in got if r.kept} == {r.doc_id for r in got if r.key is not None and r.key >= best[-1]}
-    assert {r.doc_id for r in importance.keep_sampled(df, model).collect()} == {r.doc_id for r in got if r.kept}
+    rows, cut = importance.resample(small, model)
+    got = {r.doc_id: r for r in rows.collect()}
+    for i, t in zip(ids, texts, strict=True):
+        assert abs(got[i].score - sum(ratio[g] for g in grams(t))) < 1e-6 * (1 + len(t))
+    share = np.mean([good[i] for i in ids if i in good])
+    k = int(np.ceil(len(ids) * min(1.0, share + 2 * (share * (1 - share) / sum(i in good for i in ids)) ** 0.5)))
+    keys = sorted((r.key for r in got.values()), reverse=True)
+    assert cut == keys[k - 1] and {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if r.key >= cut}
+    noise = np.array([r.key - r.score for r in got.values()])
+    assert abs(noise.mean() - 0.5772) < 0.3 and abs(noise.std() - np.pi / 6**0.5) < 0.3
+    plain = set(sorted(got, key=lambda i: -got[i].score)[:k])
+    assert 0 <= len(plain - {i for i, r in got.items() if r.kept}) <= 0.05 * k
+
+
+def test_importance_of_odd_rows(spark):
+    small, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    model = importance.fit_importance(small, labels)
+    df = docs_of(spark, odd_texts() + [r.text for r in small.collect()], extra=True).withColumn("doc_id", F.expr("nullif(doc_id, 3)"))
+    got = importance.resample(df, model)[0].collect()
+    assert all(r.score == 0.0 for r in got if r.doc_id in (0, 1)) and sum(r.doc_id is None for r in got) == 1
+    kept = importance.keep_sampled(df, model)
+    assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
     assert importance.fit_importance(small, labels.filter("false")) is None
     assert importance.resample(df.filter("false"), model)[0].count() == 0
 
 
+def test_gumbel_top_k_samples_by_weight():
+    model = importance.Importance(np.zeros(1), 0.5)
+    weights = np.log(np.array([8.0, 4.0, 2.0, 1.0, 1.0]))
+    import pyarrow as pa
+
+    first = Counter()
+    for draw in range(8000):
+        first[int(np.argmax(model.keys(pa.array(range(5 * draw, 5 * draw + 5)), weights)))] += 1
+    assert np.abs(np.array([first[i] / 8000 for i in range(5)]) - np.exp(weights) / 16).max() < 0.02
+
+
 def test_kth_largest(spark):
     values = [1.0, 5.0, 5.0, 5.0, 2.0, 1e-300, 7.5, -3.0]
     df = spark.createDataFrame([(v,) for v in values], "x double")
@@ -279,15 +325,89 @@ def test_mixing_meets_its_targets(spark):
     assert mixing.mix(small.filter("false")).count() == 0
 
 
-def test_mixing_takes_a_source_in_random_order(spark):
-    from waymark.llm.common import unit
-
-    docs = docs_of(spark, ["a b c d"] * 300).withColumn("source", F.when(F.col("doc_id") % 3 == 0, "x").otherwise("y"))
-    rows = mixing.mix(docs, lambda s: dict.fromkeys(s, 1.0)).withColumn("u", unit(F.md5(F.concat(F.lit("mix:"), F.col("doc_id").cast("string"))))).collect()
-    for s in "xy":
-        most = [r.copies for r in sorted((r for r in rows if r.source == s), key=lambda r: r.u)]
-        assert most == sorted(most, reverse=True) and len(set(most)) == 2
-    assert "simple random order within a source" in " ".join(mixing.mix.__doc__.split())
+def brute_mix(docs, seed="mix"):
+    """taken by row, from the rules alone: docs are (id, text, source)."""
+    import hashlib
+    import math
+
+    size = [len(WORD.findall(t or "")) for _, t, _ in docs]
+    sources = sorted({s for *_, s in docs}, key=lambda s: (s is None, s or ""))
+    own = {s: sum(n for n, d in zip(size, docs, strict=True) if d[2] == s) for s in sources}
+    weight = {s: k % 3 + 1 for k, s in enumerate(sources)}
+    goal, free, left = {}, set(sources), sum(size)
+    while True:
+        share = {s: left * weight[s] / sum(weight[x] for x in free) for s in free}
+        above = {s for s in free if share[s] > 3 * own[s]}
+        if not above:
+            break
+        goal |= {s: 3 * own[s] for s in above}
+        left -= sum(3 * own[s] for s in above)
+        free -= above
+    goal |= share
+    taken = [0] * len(docs)
+    for s in sources:
+        rows = [(i, size[i], str(docs[i][0]) if docs[i][0] is not None else "text:" + hashlib.md5((docs[i][1] or "").encode()).hexdigest()) for i in range(len(docs)) if docs[i][2] == s and size[i]]
+        whole = int(goal[s] // own[s]) if own[s] else 0
+        quota = goal[s] - whole * own[s] if own[s] else 0
+        classes = defaultdict(list)
+        for _, n, _ in rows:
+            classes[math.floor(math.log2(n) * 16)].append(n)
+        low, high = 0.0, 1.0
+        for _ in range(200):  # words included on average at a scale
+            c = (low + high) / 2
+            mean = sum(min(sum(ns), c * sum(n * n for n in ns)) for ns in classes.values())
+            low, high = (low, c) if mean > quota else (c, high)
+        ranked = defaultdict(list)
+        for i, n, key in rows:
+            u = (int(hashlib.md5(f"{seed}:{key}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = min(1.0, high * n)
+            ranked[u / (1 - u) * (1 - p) / p, n, key].append(i)
+        done = 0
+        for key in sorted(ranked):
+            amount = key[1] * len(ranked[key])
+            if quota <= 0 or 2 * done + amount > 2 * quota:
+                break
+            done += amount
+            for i in ranked[key]:
+                taken[i] += size[i]
+        for i, n, _ in rows:
+            taken[i] += whole * n
+    return taken
+
+
+def test_mixing_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    docs = [(i, " ".join(["w"] * int(rng.lognormal(3, 1.2))), [None, "", "a", "b", "é"][rng.integers(0, 5)]) for i in range(1500)]
+    docs += [(None, t, "a") for t in ("x y z", "x y z", None, "p q")] + [(7, docs[7][1], docs[7][2])] * 3 + [(8, "other text", "b"), (-5, "huge " * 4000, "b")]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string").withColumn("copies", F.lit("x")).withColumn("_u", F.lit(1))
+    want = Counter((i, s, t) for (i, _, s), t in zip(docs, brute_mix(docs), strict=True))
+    assert Counter((r.doc_id, r.source, r.taken) for r in mixing.mix(df).collect()) == want
+    mixed = mixing.apply_mix(df)
+    assert mixed.columns == df.columns
+    words = Counter()
+    for r in mixed.collect():
+        words[r.source] += len(WORD.findall(r.text))
+    assert words == Counter({s: n for s in {d[2] for d in docs} if (n := sum(t for (_, s2, t), k in want.items() if s2 == s for _ in range(k)))})
+
+
+def test_mixing_includes_documents_as_often_as_it_should(spark):
+    rng = np.random.default_rng(6)
+    sizes = rng.integers(5, 200, 400).tolist()
+    docs = spark.createDataFrame([(i, "w " * n, "xy"[i % 2]) for i, n in enumerate(sizes)], "doc_id long, text string, source string").cache()
+    found, draws = np.zeros(400), 40
+    for k in range(draws):
+        for r in mixing.mix(docs, lambda s: {"x": 1.0, "y": 2.0}, seed=f"draw {k}").collect():
+            found[r.doc_id] += r.copies
+    rows = mixing.mix(docs, lambda s: {"x": 1.0, "y": 2.0}).collect()
+    goal = {r.source: (r.target, r.source_size) for r in rows}
+    for s, part in (("x", 0), ("y", 1)):
+        target, size = goal[s]
+        whole = target // size
+        p = np.minimum(1.0, np.array(sizes[part::2]) * (target - whole * size) / sum(n * n for n in sizes[part::2]))
+        if p.max() < 1:
+            z = (found[part::2] / draws - whole - p) / np.sqrt(p * (1 - p) / draws)
+            assert abs(z.mean()) < 0.3 and z.std() < 1.3
+        assert np.corrcoef(found[part::2], p)[0, 1] > 0.6
 
 
 def test_targets_are_capped_and_reshared():
@@ -321,6 +441,21 @@ def test_url_filters(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
 
 
+def test_url_model_on_held_out_urls(spark):
+    """URLs of words that the labelled table hasn't as such."""
+    bad = "best-casino-bonus onlinepoker24 sports-betting-tips viagra4u cheap-cialis replicawatches.shop xxxtube freeporn sexdates ads2 adserver1 clicktrack buybacklinks payday-cash loans-payday crackedgames keygens torrents-downloads lottery-winner phishing-kit".split()
+    good = "citylibrary universityofx dailyherald cookingrecipes gardenclub historical-society sciencejournal weatherstation artgallery-museum councils schools-online musicschool photographers chessclub mathforum hospitals railways bookreviews translations travelnotes".split()
+    urls = [(f"https://www.{w}.example.com/en/{k}" if k % 2 else f"http://{w}.example.org/", w in bad) for k, w in enumerate(bad + good)]
+    urls += [("https://ads.example.com/en/5", True), ("http://replica-watches.example.org/", True), ("http://m.thend.example.com/fr/812.html", False)]
+    df = spark.createDataFrame([(k, u) for k, (u, _) in enumerate(urls)], "page_id long, url string")
+    got = {r.page_id: r.verdict == "block" for r in url_filters.filter_urls(df, url_filters.fit_urls(spark)).collect()}
+    wrong = [u for k, (u, b) in enumerate(urls) if got[k] != b]
+    assert len(wrong) <= 0.12 * len(urls), wrong
+    table = [(k, u) for k, (u, _) in enumerate(url_filters.labelled_urls())]
+    assert not {u for u, _ in urls} & {u for _, u in table}
+    assert url_filters.filter_urls(df.filter("false"), url_filters.fit_urls(spark)).count() == 0
+
+
 def test_licence_scan(spark):
     model = licenses.fit_licenses()
     texts = odd_texts() + ["Some text.\nReleased under the MIT License.\nMore.", "x\n\nlicensed under the apache license, version 2.0", "She went to MIT.", "Licensed under CC BY-NC 4.0. All of it.", "Er kam mit dem Zug."]
@@ -344,7 +479,10 @@ def test_wrapped_licence_notices(spark):
     texts = [bsd, "Copyright x\n\n" + gpl, cc, mit, gpl.replace("# the Free", "#\n# the Free").replace("GNU", "\n\n"), "It rained.\n" + bsd + "\n\n" + bsd, "Released under the MIT License.\nIt rained.\nMore."]
     got = {r.doc_id: r for r in licenses.scan_licenses(docs_of(spark, texts), licenses.fit_licenses()).collect()}
     assert [got[k].license for k in range(7)] == ["BSD", "GPL-3.0", "CC-BY", "MIT", None, "BSD", "MIT"]
-    assert [got[k].n_licensed for k in range(7)] == [1, 1, 1, 1, 0, 2, 1] and got[1].paragraph == 2
+    assert [got[k].n_licensed for k in range(7)] == [1, 1, 1, 1, 0, 2, 1] and got[1].paragraph in (2, 3)
+    versions = ["This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 1.", gpl.replace("General", "Affero General"), gpl.replace("General", "Lesser General"), gpl.replace("version 3", "version 2")]
+    said = {r.doc_id: r.license for r in licenses.scan_licenses(docs_of(spark, versions), licenses.fit_licenses()).collect()}
+    assert [said[k] for k in range(6)] == ["GPL-2.0", "GPL-3.0", None, "AGPL-3.0", "LGPL", "GPL-2.0"]
     narrow = "\n".join(" ".join(w) for w in itertools.batched(gpl.replace("#", "").split(), 6))
     assert licenses.scan_licenses(docs_of(spark, [narrow]), licenses.fit_licenses()).first().license == "GPL-3.0"
 
@@ -355,17 +493,21 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style></head><b
 <form>mail</form><footer>&copy; x</footer></body></html>"""
 
 
+def text_of(html, shared=()):
+    return pages.main_text(pages.parse(html), set(shared))
+
+
 def test_pages(spark):
-    assert pages.main_text(pages.parse(PAGE), None) == "Head & more\n\nOne two three.\n\nFour five\n\nsix\n\nseven"
+    assert text_of(PAGE) == "Head & more\n\nOne two three.\n\nFour five\n\nsix\n\nseven"
+    assert text_of("<article><header><h1>Title</h1></header><p class='article-header'>Lead</p><p>Text <span class='ad'>x</span> on</p></article>") == "Title\n\nLead\n\nText on"
     plain = "<body><div>Shared banner</div><p>{}</p><p>Shared end</p></body>"
-    rows = [(1, "http://a.b/x/1", plain.format("own one")), (2, "http://a.b/x/2", plain.format("own two")), (3, "http://z.y/", plain.format("own three")), (4, None, None), (5, "http://a.b/q", PAGE), (5, "http://a.b/q", PAGE)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).coalesce(1)
-    got = pages.extract(df.repartition(1)).collect()
-    text = {r.page_id: r.text for r in got}
-    assert len(got) == 6 and text[3] == "Shared banner\n\nown three\n\nShared end" and text[4] == ""
-    assert text[5].startswith("Head & more") and all(r.n_chars == len(r.text) for r in got)
-    a, b = pages.parse(rows[0][2]), pages.parse(rows[1][2])
-    assert pages.main_text(a, b) == "own one"
+    rows = [(1, "http://a.b/x/1", plain.format("own one")), (2, "http://a.b/x/2", plain.format("own two")), (3, "http://z.y/", plain.format("own three")), (4, None, None), (5, "http://a.b/q", PAGE), (5, "http://a.b/q", PAGE), (None, "http://n.n", "<p>" + "word " * 300_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")).withColumn("k1", F.lit("x")).withColumn("lines", F.lit(1))
+    got = pages.extract(df).collect()
+    text = {r.page_id: r for r in got}
+    assert len(got) == 7 and text[3].text == "Shared banner\n\nown three\n\nShared end" and text[4].text == "" and text[None].n_chars == 1_499_999
+    assert text[5].text.startswith("Head & more") and all(r.n_chars == len(r.text) for r in got)
+    assert text[1].text == "own one" and text[2].text == "own two" and (text[1].n_lines, text[1].n_shared, text[1].n_restored) == (3, 2, 0)
     assert pages.extract(df.filter("false")).count() == 0
 
 
@@ -376,17 +518,55 @@ def test_copies_of_a_page_keep_their_text(spark):
     rows += [(k, "http://r.s/x/1", one) for k in (5, 7, 8, 9)] + [(6, "http://r.s/x/1", two), (10, "http://r.s/x/2", two)]
     rows += [(11, "http://a.b/y", two)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
-    text = {r.page_id: r.text for r in pages.extract(df.repartition(1)).collect()}
+    text = {r.page_id: r.text for r in pages.extract(df).collect()}
     whole = "Shared banner\n\nown one\n\nShared end"
     assert text[1] == text[2] == "own one" and text[11] == "own two" and text[3] == text[4] == whole
     assert [text[k] for k in range(5, 11)] == ["own one", "own two", "own one", "own one", "own one", "own two"]
 
 
+@pytest.mark.parametrize("parts", [1, 8, 60])
+def test_differencing_doesn_t_depend_on_the_borders_of_tasks(spark, parts):
+    rng = np.random.default_rng(8)
+    lines = [f"line {k}" for k in range(12)]
+    rows = []
+    for k in range(150):
+        host, path = f"h{rng.integers(0, 3)}.x", f"/{rng.integers(0, 4)}/{rng.integers(0, 30)}"
+        body = [lines[i] for i in sorted(rng.integers(0, 12, 4))] if k % 3 else lines[:3]  # every third one the same lines
+        rows.append((k, f"http://{host}{path}", "".join(f"<div>{x}</div>" for x in body) + f"<!--{k % 9}-->"))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    keys = {(r.k1, r.k2): r for r in pages.digests(df).collect()}
+    order = sorted(keys, key=lambda k: (keys[k].url.split("/")[2], keys[k].url.split("/", 3)[3], *k))
+    body = {k: pages.parse(keys[k].html).lines for k in order}
+    want = {}
+    for n, k in enumerate(order):
+        host, path = keys[k].url.split("/")[2], "/" + keys[k].url.split("/", 3)[3]
+        best = []
+        for step in (-1, 1):
+            m = n + step
+            while 0 <= m < len(order) and keys[order[m]].url.split("/")[2] == host and body[order[m]] == body[k]:
+                m += step
+            if 0 <= m < len(order) and keys[order[m]].url.split("/")[2] == host:
+                other = "/" + keys[order[m]].url.split("/", 3)[3]
+                alike = next((i for i, (a, b) in enumerate(zip(path, other, strict=False)) if a != b), min(len(path), len(other)))
+                best.append((-alike, step, order[m]))
+        shared = set(pages.common_lines(body[k], body[min(best)[2]])) if best else set()
+        want[k] = "\n\n".join(x for i, x in enumerate(body[k]) if i not in shared)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", parts)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {(r.k1, r.k2): r.text for r in pages.extract(df).join(pages.digests(df).select("page_id", "k1", "k2"), "page_id").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert got == want
+
+
 def test_main_text_within_a_layout_named_after_its_sidebar():
-    text = lambda html: pages.main_text(pages.parse(html), None)
+    text = text_of
     for layout in ("layout has-sidebar", "no-sidebar", "widget"):
         page = f"<body><div class='{layout}'><div>menu</div><article><h1>Head</h1><p>Text<div class='comments'><article>first</article></div></article><p>after</div><p>end"
-        assert text(page) == "Head\n\nText"
+        assert text(page) == "Head\n\nText\n\nend" and text(page, [4, 5]) == "Head\n\nText"
     assert text("<div class='no-sidebar'><main class='has-sidebar'><p>Text</main></div>") == "Text"
     assert text("<p>Text</p><aside class='x'><article>no</article></aside><div id='comments'><article class='comment'>no</article></div>") == "Text"
 
@@ -432,21 +612,36 @@ def test_audio_aligns_shifted_and_noisy_recordings(spark):
     assert next(r.class_id for r in rows if r.kind == "member" and r.id == 201) == 1
 
 
-def test_audio_recall_against_brute_force(spark):
-    df = spark.read.parquet("/root/testdata/check_h/embeddings.parquet").filter("vec_id < 1200")
-    prints = audio.fingerprints(df, "vec_id", "embedding", audio.sonify)
-    got = {(r.id, r.class_id) for r in audio.align(prints, F.col("id") % 20 == 0).collect() if r.kind == "match"}
-    codes = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in prints.collect()}
+@pytest.fixture(scope="module")
+def sounds(spark):
+    """500 vectors as sound, and 40 of them, the queries, with noise of eight strengths 5 times each."""
+    rng = np.random.default_rng(12)
+    rows = [(r.vec_id, list(r.embedding)) for r in spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").collect()]
+    known = dict(rows)
+    queries = sorted(i for i in known if i % 20 == 0)[:40]
+    for n, i in enumerate(q for q in queries for _ in range(5)):
+        v = np.array(known[i])
+        rows.append((10_001 + 20 * n, (v + rng.normal(0, v.std() * 0.02 * (1 + n % 8), len(v))).tolist()))
+    return audio.fingerprints(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), "vec_id", "embedding", audio.sonify).cache()
+
+
+@pytest.mark.parametrize("frequent", [audio.FREQUENT, 60])
+def test_audio_recall_against_brute_force(spark, sounds, frequent, monkeypatch):
+    monkeypatch.setattr(audio, "FREQUENT", frequent)
+    got = {(r.id, r.class_id) for r in audio.align(sounds, F.col("id") % 20 == 0).collect() if r.kind == "match"}
+    codes = {r.id: np.array(r.codes, np.int32).view(np.uint32) for r in sounds.collect()}
     want = set()
     ids = sorted(codes)
     table = np.stack([codes[i] for i in ids])
-    for q in ids[::20]:
+    for q in [i for i in ids if i % 20 == 0]:
         for shift in range(-4, 5):
             a, b = codes[q][max(0, shift) :], table[:, max(0, -shift) :]
             n = min(len(a), b.shape[1])
-            errors = np.unpackbits((a[:n] ^ b[:, :n]).view(np.uint8), axis=1).sum(1) / (32.0 * n)
+            errors = np.bitwise_count(a[:n] ^ b[:, :n]).sum(1) / (32.0 * n)
             want |= {(q, ids[k]) for k in np.flatnonzero(errors <= audio.BIT_ERRORS)}
-    assert len(want & got) >= 0.9 * len(want) and not {p for p in got if p not in want and p[0] != p[1]} - want
+    others = {p for p in want if p[0] != p[1]}
+    print("audio pairs", len(want), len(want & got), len(others), len(others & got), len(got - want))
+    assert len(others) > 30 and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
 
 
 def test_the_pipeline_runs_and_keeps_its_columns(spark):
@@ -472,7 +667,13 @@ def test_every_query_is_registered(name):
 def test_encoder_learns_pieces_together_as_alone():
     encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
     texts = ["a it's <|endoftext|>b\nc d", " \n\n x\t y", "é日本 !?\r\n 12", "", "w " * 50, "Ġ Ċx\nĠ"]
-    for text, ids in zip(texts, encoder.encode_many(texts), strict=True):
-        assert np.frombuffer(ids, "<u4").tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    for many in (texts, texts * 3000):
+        want = [encoder.library.encode(t, add_special_tokens=False).ids for t in texts] * (len(many) // len(texts))
+        got = list(encoder.encode_many(many))
+        assert np.concatenate([n for n, _ in got]).tolist() == list(map(len, want))
+        assert np.concatenate([ids for _, ids in got]).tolist() == list(itertools.chain(*want))
+        assert np.concatenate([n for n, _ in encoder.encode_many(many, want_ids=False)]).tolist() == list(map(len, want))
+    encoder.cuts = False
+    assert [ids.tolist() for _, ids in [next(encoder.encode_many([t])) for t in texts]] == want[: len(texts)]
     pieces = ["one", "\ntwo", "three's", "<|endoftext|>"]
     assert encoder._learn_plain(pieces) == encoder._learn_each(pieces)
