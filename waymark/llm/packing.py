@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, small_batches
 from .tokens import load
 
 SIZE = 2048
@@ -24,18 +24,23 @@ RANKED = 50_000
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens: each document's ids cut into runs of `size` and a rest."""
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = load(tokenizer)
-        last = np.array([end], "<u4").tobytes()
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
         for batch in batches:
-            rows = []
-            for i, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode_many(batch.column("text").to_pylist()), strict=True):
-                view = memoryview(ids + last)
-                n = len(view) // 4
-                rows += [(i, k, min(size, n - k), zlib.crc32(view[4 * k : 4 * (k + size)]), n) for k in range(0, n, size)]
-            names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=names)
+            at = 0
+            for lengths, ids in encoder.encode_many(batch.column("text").to_pylist()):
+                own = batch.column("doc_id")[at : at + len(lengths)].to_pylist()
+                at += len(lengths)
+                ends = np.cumsum(lengths)
+                view = memoryview(np.insert(ids, ends, end).astype("<u4").view(np.uint8))
+                starts = (ends - lengths + np.arange(len(lengths))).tolist()
+                rows = []
+                for i, s, n in zip(own, starts, (lengths + 1).tolist(), strict=True):
+                    rows += [(i, k, min(size, n - k), zlib.crc32(view[4 * (s + k) : 4 * (s + min(k + size, n))]), n) for k in range(0, n, size)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.int64()) for c in range(5)], names=names)
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(
         run, "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
