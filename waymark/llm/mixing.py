@@ -86,8 +86,8 @@ def plan(rows: DataFrame, weights=cycle_weights, most: float = MOST) -> DataFram
     size and id of the last document that the sample takes (_last; null if it takes none).
 
     What comes to the driver are sums by source and class of size; sources are few. No source is gathered in one task:
-    amounts are summed by FAN buckets of the place, and only the one bucket of each source in which its quota ends is put
-    in order.
+    amounts are summed by FAN buckets of the place, then by 256 coarse ones, and only the one bucket of each source in
+    which its quota ends is put in order.
     """
     spark: SparkSession = rows.sparkSession
     of_class = F.floor(F.log2(F.greatest(F.col("_size"), F.lit(1))) * CLASSES).cast("int").alias("class")
@@ -109,12 +109,19 @@ def plan(rows: DataFrame, weights=cycle_weights, most: float = MOST) -> DataFram
     placed = by_source(rows, sources.select("source", "quota", "scale")).filter("_size > 0 and quota > 0")
     placed = placed.select("_source", "_id", "_size", "quota", place("scale").alias("_place"))
     placed = placed.withColumn("_at", F.least(F.lit(FAN - 1), F.floor(F.col("_place") * FAN)).cast("int"))
-    steps = placed.groupBy("_source", "_at").agg(F.sum("_size").alias("amount"), F.first("quota").alias("quota"))
-    up_to = Window.partitionBy("_source").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = steps.withColumn("before", F.sum("amount").over(up_to) - F.col("amount"))
-    # The bucket in which the quota ends; where it lies beyond all words, the last one.
-    ends = steps.filter("before <= quota").groupBy("_source").agg(F.max_by(F.struct("_at", "before"), "_at").alias("end"))
-    ends = materialize(ends.select(F.col("_source").alias("source"), "end.*"), "ends")
+    steps = materialize(placed.groupBy("_source", "_at").agg(F.sum("_size").alias("amount"), F.first("quota").alias("quota")), "steps")
+
+    def end(table: DataFrame, at: str) -> DataFrame:
+        """The step of each source in which its quota ends, or its last one, with the amount before it."""
+        w = Window.partitionBy("_source").orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        upto = table.withColumn("before", F.sum("amount").over(w) - F.col("amount") + F.col("start"))
+        found = upto.filter("before <= quota").groupBy("_source").agg(F.max(at).alias(at), F.max("before").alias("before"))
+        return found.withColumnRenamed("_source", "source")
+
+    coarse = steps.groupBy("_source", F.floor(F.col("_at") / 256).cast("int").alias("hi")).agg(F.sum("amount").alias("amount"), F.first("quota").alias("quota"))
+    coarse = end(coarse.withColumn("start", F.lit(0)), "hi").withColumnsRenamed({"before": "start", "hi": "end_hi"})
+    fine = by_source(steps, coarse).filter(F.floor(F.col("_at") / 256) == F.col("end_hi"))
+    ends = materialize(end(fine, "_at"), "ends")
     edge = by_source(placed, ends.withColumnRenamed("_at", "_end")).filter("_at = _end")
     # Rows of one id and size stand together: they are all taken, or none.
     edge = edge.groupBy("_source", "_place", "_size", "_id", "quota", "before").agg(F.sum("_size").alias("amount"))
