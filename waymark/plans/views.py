@@ -50,6 +50,14 @@ VIEWS = {
     "v_cue": f"""SELECT event_id AS cue_id, user_id AS route_id, {pick("event_id * 5", CUES)} AS kind, CAST((event_id * 37) % 20011 AS DOUBLE) AS along_m FROM events""",
     "v_chain": """SELECT p_partkey AS u, p_partkey + 1 AS v, p_retailprice AS length_m FROM part WHERE (p_partkey * 7919) % 7 > 1
         UNION ALL SELECT p_partkey AS u, p_partkey + 2 AS v, p_retailprice * 1.5e0 AS length_m FROM part WHERE p_partkey % 5 = 0""",
+    "v_ring": """SELECT p_partkey AS shape_id, k, cx + r * cos(radians(turn * 60e0 * k)) AS lon, cy + r * 0.8e0 * sin(radians(turn * 60e0 * k)) AS lat FROM
+        (SELECT p_partkey, k, -82.6e0 + CAST((p_partkey * 7919) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS cx, 35.55e0 + CAST((p_partkey * 104729) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS cy,
+        0.0004e0 * (2 + p_partkey % 5) * (2 + (p_partkey * k) % 3) / 4e0 AS r, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS turn
+        FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS t(k))""",
+    "v_track": """SELECT user_id AS route_id, event_id AS seq, -82.6e0 + CAST((event_id * 7919) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
+        35.55e0 + CAST((event_id * 6151) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, event_type FROM events""",
+    "v_stop": """SELECT c_custkey AS id, c_custkey % 50 AS route_id, -82.6e0 + CAST((c_custkey * 3079) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
+        35.55e0 + CAST((c_custkey * 7919) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, CAST((c_custkey * 37) % 90000 AS DOUBLE) AS at_m FROM customer""",
 }
 
 
