@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from waymark.functions import geo
 
 
+#: Rules at most that are sent to every task.
+RULES = 100_000
+
+
 def with_cells(points: DataFrame, cell_m: float, lat0: float) -> DataFrame:
     """Adds plane coordinates x, y about lat0 and the grid cell (cx, cy) of cells cell_m wide."""
     x, y = geo.local_xy(F.col("lon"), F.col("lat"), F.lit(lat0))
@@ -37,16 +41,18 @@ def nearest(left: DataFrame, right: DataFrame, radius_m: float, lat0: float) ->
     """For each left point its nearest right one within the radius, ties to the smaller id; a grouped minimum, so hot
     cells are pre-aggregated. Left points without a partner are listed with nulls."""
     pairs = within_distance(left, right, radius_m, lat0)
-    best = pairs.groupBy("left_id").agg(F.min(F.struct("distance_m", "right_id")).alias("best"))
-    out = left.select(F.col("id").alias("left_id")).join(best, "left_id", "left")
-    return out.select("left_id", F.col("best.right_id").alias("right_id"), F.col("best.distance_m").alias("distance_m"))
+    least = pairs.groupBy("left_id").agg(F.min("distance_m").alias("distance_m"))
+    best = pairs.join(least, ["left_id", "distance_m"]).groupBy("left_id", "distance_m").agg(F.min("right_id").alias("right_id"))
+    return left.select(F.col("id").alias("left_id")).join(best, "left_id", "left").select("left_id", "right_id", "distance_m")
 
 
 def best_rule(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules (key, value, ord, layer, weight) on features (id, key, value): an exact value beats the wildcard '*'; of
-    exact rules the last wins, of wildcards the first. Features without a rule have nulls. Rules are a small table of
-    fixed size, sent to every task by Spark when below its broadcast threshold."""
-    hit = features.join(rules.select("key", F.col("value").alias("_want"), "ord", "layer", "weight"), "key").filter((F.col("_want") == F.col("value")) | (F.col("_want") == "*"))
+    exact rules the last wins, of wildcards the first. Features without a rule have nulls. Rules are counted, and sent to
+    every task if there are at most RULES of them."""
+    few = rules.limit(RULES + 1).count() <= RULES
+    rules = rules.select("key", F.col("value").alias("_want"), "ord", "layer", "weight")
+    hit = features.join(F.broadcast(rules) if few else rules, "key").filter((F.col("_want") == F.col("value")) | (F.col("_want") == "*"))
     exact = F.col("_want") != "*"
     rank = F.struct(exact.alias("exact"), F.when(exact, F.col("ord")).otherwise(-F.col("ord")).alias("at"), "layer", "weight")
     best = hit.groupBy("id").agg(F.max(rank).alias("best"))

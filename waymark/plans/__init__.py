@@ -1,3 +1,3 @@
 """Derived views and the catalogue of queries."""
 
-from . import catalog, geometry, journeys  # noqa: F401
+from . import catalog, geometry, journeys, routes  # noqa: F401

@@ -166,8 +166,12 @@ def flt_bbox(spark, sf_dir):
     return f.join(b, ["cx", "cy"]).filter(inside).select("request_id", "id")
 
 
-BUCKET = """CASE WHEN surface IN ('asphalt','paved','concrete','paving_stones') THEN 'paved' WHEN surface IS NOT NULL AND highway IN ('path','bridleway') THEN 'singletrack'
-    WHEN surface IN ('gravel','fine_gravel','compacted','unpaved','ground','dirt','grass','sand') THEN 'gravel' WHEN highway IN ('path','bridleway') THEN 'singletrack' END"""
+def listed(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+BUCKET = f"""CASE WHEN lower(surface) IN ({listed(scoring.PAVED)}) THEN 'paved' WHEN lower(surface) IN ({listed(scoring.UNPAVED)}) THEN CASE WHEN highway IN ('path', 'bridleway') THEN 'singletrack' ELSE 'gravel' END
+    WHEN surface IS NULL AND highway IN ('path', 'bridleway') THEN 'singletrack' END"""
 
 
 @query(f"SELECT bucket, count(*) AS n, sum(CAST(round(length_m * 100e0) AS BIGINT)) AS length_cm FROM (SELECT *, {BUCKET} AS bucket FROM v_edge) GROUP BY bucket", "v_edge")
@@ -176,14 +180,30 @@ def flt_surface_bucket(spark, sf_dir):
     return rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.sum(F.round(F.col("length_m") * 100).cast("long")).alias("length_cm"))
 
 
-@query(
-    """SELECT verdict, highway, count(*) AS n FROM (SELECT highway, CASE WHEN bicycle IN ('no','use_sidepath','destination','private') THEN 'exclude' WHEN bicycle IS NULL AND access IN ('no','private') THEN 'exclude'
-    WHEN ford IN ('yes','stepping_stones') THEN 'flag' ELSE 'pass' END AS verdict FROM v_edge) GROUP BY verdict, highway""",
-    "v_edge",
-)
+def _legality_sql() -> str:
+    """One SELECT for each mode, over tags of one value."""
+    parts = []
+    for mode, (key, closed, told, fords, wade, water) in scoring.MODE_RULES.items():
+        used = f"coalesce({key}, access)"
+        reason = f"CASE WHEN {key} IN ({listed(closed)}) THEN '{key}=' || {key} WHEN {key} IS NULL AND access IN ('no', 'private') THEN 'access=' || access WHEN barrier IS NOT NULL AND {used} IN ({listed({*closed, 'no', 'private'})}) THEN 'barrier=' || barrier"
+        reason += " WHEN ford IN ('yes', 'stepping_stones') THEN 'ford=' || ford" if fords and not wade else ""
+        reason += " WHEN waterway IN ('weir', 'lock_gate', 'waterfall', 'hazard') THEN 'waterway=' || waterway" if water else ""
+        flags = [f"CASE WHEN {used} IS NULL AND barrier IN ({listed(scoring.BARRIERS[mode])}) THEN 'barrier=' || barrier END"] if scoring.BARRIERS[mode] else []
+        flags += [f"CASE WHEN {key} IN ({listed(told)}) THEN '{key}=' || {key} END"] if told else []
+        flags += ["CASE WHEN ford IN ('yes', 'stepping_stones') THEN 'ford=' || ford END"] if fords and wade else []
+        told_text = f"concat_ws(',', {', '.join(flags)})" if flags else "''"
+        parts.append(f"SELECT '{mode}' AS mode, reason, CASE WHEN reason IS NULL THEN flags ELSE '' END AS flags, count(*) AS n FROM (SELECT {reason} END AS reason, {told_text} AS flags FROM v_way) GROUP BY ALL")
+    return " UNION ALL ".join(parts)
+
+
+@query(_legality_sql(), "v_way")
 def flt_edge_legality(spark, sf_dir):
-    rows = load(spark, sf_dir, "v_edge").withColumn("verdict", scoring.legality("cycling", F.col("access"), F.col("bicycle"), F.col("ford")))
-    return rows.groupBy("verdict", "highway").agg(F.count(F.lit(1)).alias("n"))
+    """FLT-07: whether each mode may use an edge, why not, and what to mention."""
+    rows = load(spark, sf_dir, "v_way")
+    tags = {k: F.when(F.col(k).isNotNull(), F.array(k)) for k in ("access", "bicycle", "foot", "canoe", "motor_vehicle", "barrier", "ford", "waterway")}
+    verdicts = F.array(*[F.struct(F.lit(m).alias("mode"), scoring.legality(m, tags).alias("v")) for m in scoring.MODE_RULES])
+    out = rows.select(F.explode(verdicts).alias("e")).select("e.mode", "e.v.reason", F.array_join("e.v.flags", ",").alias("flags"))
+    return out.groupBy("mode", "reason", "flags").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(
@@ -414,13 +434,13 @@ def set_jaccard(spark, sf_dir):
 
 
 @query(
-    "SELECT CASE WHEN a.id IS NULL THEN 'right' WHEN b.id IS NULL THEN 'left' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT u AS id FROM v_edge WHERE u % 3 <> 0) a FULL JOIN (SELECT DISTINCT u AS id FROM v_edge WHERE u % 4 <> 0) b ON a.id = b.id GROUP BY 1",
+    "SELECT CASE WHEN a.id IS NULL THEN 'right' WHEN b.id IS NULL THEN 'left' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT u AS id FROM v_edge) a FULL JOIN (SELECT DISTINCT v AS id FROM v_edge) b ON a.id = b.id GROUP BY 1",
     "v_edge",
 )
 def set_parity(spark, sf_dir):
-    """Ids of two graphs: only left, only right or both, from one grouping over their union."""
-    e = load(spark, sf_dir, "v_edge").select(F.col("u").alias("id"))
-    sides = e.filter("id % 3 != 0").withColumn("m", F.lit(1)).unionByName(e.filter("id % 4 != 0").withColumn("m", F.lit(2)))
+    """SET-03: ids at the two ends of edges: only left, only right or both, from one grouping over their union."""
+    e = load(spark, sf_dir, "v_edge")
+    sides = e.select(F.col("u").alias("id"), F.lit(1).alias("m")).unionByName(e.select(F.col("v").alias("id"), F.lit(2).alias("m")))
     marks = sides.groupBy("id").agg(F.bit_or("m").alias("m"))
     return marks.groupBy(F.when(F.col("m") == 1, "left").when(F.col("m") == 2, "right").otherwise("both").alias("side")).agg(F.count(F.lit(1)).alias("n"))
 

@@ -27,7 +27,7 @@ VIEWS = {
         35.55e0 + CAST((p_partkey * 104729) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, {pick("p_partkey", KEYS)} AS key,
         {pick("p_partkey * 3 + p_size", VALUES)} AS value, CAST(p_size AS DOUBLE) / 64e0 AS salience, p_partkey % 3 AS layer_no FROM part""",
     "v_node": """SELECT p_partkey AS id, -82.6e0 + CAST((p_partkey * 6151) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
-        35.55e0 + CAST((p_partkey * 3079) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat FROM part WHERE p_partkey % 4 = 0""",
+        35.55e0 + CAST((p_partkey * 3079) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat FROM part""",
     "v_bbox": """SELECT n_nationkey AS request_id, -82.6e0 + CAST(n_nationkey % 5 AS DOUBLE) * 0.02e0 AS west, 35.55e0 + CAST(n_nationkey % 7 AS DOUBLE) * 0.012e0 AS south,
         -82.6e0 + CAST(n_nationkey % 5 AS DOUBLE) * 0.02e0 + 0.015e0 AS east, 35.55e0 + CAST(n_nationkey % 7 AS DOUBLE) * 0.012e0 + 0.01e0 AS north FROM nation""",
     "v_area": """SELECT s_suppkey AS area_key, -82.62e0 + CAST(s_suppkey % 11 AS DOUBLE) * 0.01e0 AS west, 35.53e0 + CAST(s_suppkey % 13 AS DOUBLE) * 0.008e0 AS south,
@@ -48,8 +48,15 @@ VIEWS = {
         CASE WHEN event_id % 4 = 0 THEN NULL ELSE CAST((event_id * 37) % 9000 AS DOUBLE) END AS along_m FROM events""",
     "v_permit": f"""SELECT o_orderkey AS permit_id, o_custkey AS trip_id, {pick("o_orderkey * 3 + o_custkey", STATUSES)} AS status, o_orderpriority AS title FROM orders""",
     "v_cue": f"""SELECT event_id AS cue_id, user_id AS route_id, {pick("event_id * 5", CUES)} AS kind, CAST((event_id * 37) % 20011 AS DOUBLE) AS along_m FROM events""",
-    "v_chain": """SELECT p_partkey AS u, p_partkey + 1 AS v, p_retailprice AS length_m FROM part WHERE (p_partkey * 7919) % 7 > 1
-        UNION ALL SELECT p_partkey AS u, p_partkey + 2 AS v, p_retailprice * 1.5e0 AS length_m FROM part WHERE p_partkey % 5 = 0""",
+    "v_chain": """SELECT p_partkey AS u, CAST(floor(p_partkey / 2e0) AS BIGINT) AS v, p_retailprice AS length_m FROM part WHERE p_partkey > 1
+        UNION ALL SELECT p_partkey AS u, 1 AS v, p_retailprice * 4e0 AS length_m FROM part WHERE p_partkey > 1""",
+    "v_way": f"""SELECT l_orderkey AS route_id, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey AS seq, l_partkey AS u, l_suppkey AS v, l_extendedprice AS length_m, {pick("l_partkey + l_suppkey", HIGHWAYS)} AS highway,
+        {pick("l_partkey * 3 + l_linenumber", ["asphalt", "sett", None, "mud", "Gravel", "tartan", "wood", "earth"])} AS surface, {pick("l_partkey", [None, "50", "35 mph", "walk", "30", None, "20 mph"])} AS maxspeed,
+        {pick("l_suppkey", ["2", None, "4", " 5.0", "wide"])} AS lanes, {pick("l_partkey * 5 + l_suppkey", ["Mill Creek Trail", "Main Street", None, "Park Avenue", None, "Pathfinder Way"])} AS name,
+        l_discount - 0.04e0 AS grade, {pick("l_suppkey", ["no", None, "yes", None, "private", None, None])} AS access, {pick("l_partkey * 7", [None, "no", None, "destination", "yes", "dismount", "private"])} AS bicycle,
+        {pick("l_partkey", [None, None, "yes", "no", None])} AS foot, {pick("l_partkey + 1", [None, None, None, "permit", "yes"])} AS canoe, {pick("l_suppkey + 2", [None, "private", "yes", None])} AS motor_vehicle,
+        {pick("l_partkey + l_linenumber", [None, "gate", None, "bollard", None, "cycle_barrier"])} AS barrier, {pick("l_partkey", [None, None, None, "yes", None, None, None, "stepping_stones"])} AS ford,
+        {pick("l_suppkey", [None, "weir", None, None, "river", None])} AS waterway, {pick("l_partkey + l_suppkey * 3", [None, None, None, "no"])} AS contraflow, l_tax AS salience FROM lineitem""",
     "v_ring": """SELECT p_partkey AS shape_id, k, cx + r * cos(radians(turn * 60e0 * k)) AS lon, cy + r * 0.8e0 * sin(radians(turn * 60e0 * k)) AS lat FROM
         (SELECT p_partkey, k, -82.6e0 + CAST((p_partkey * 7919) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS cx, 35.55e0 + CAST((p_partkey * 104729) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS cy,
         0.0004e0 * (2 + p_partkey % 5) * (2 + (p_partkey * k) % 3) / 4e0 AS r, CASE WHEN p_partkey % 2 = 0 THEN 1 ELSE -1 END AS turn
