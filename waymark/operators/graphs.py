@@ -87,3 +87,67 @@ def fill_gaps(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         state = step.drop("new")
         if not step.filter("new").limit(1).count():
             return state.select("id", F.coalesce("value", F.lit(0.0)).alias("value"))
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """(start, id): all nodes that each start (start, id) reaches along edges (u, v), itself included; the frontier of
+    each round is joined, one round a hop."""
+    arcs = settle(edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v").distinct(), "arcs")
+    known = settle(starts.select("start", "id").distinct(), "reached")
+    fresh = known
+    while True:
+        step = fresh.join(arcs, F.col("id") == F.col("u")).select("start", F.col("v").alias("id")).distinct().join(known, ["start", "id"], "left_anti")
+        fresh = settle(step, "frontier")
+        if fresh.isEmpty():
+            return known
+        known = settle(known.unionByName(fresh), "reached")
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(id, component) for each node of directed edges (u, v): the smallest id with which it lies on a common cycle.
+
+    Rounds of colouring: each open node takes the least id that reaches it (its colour, by rounds of minima); nodes that
+    reach the colour's own node within the colour are its component and leave. Nodes with no edge in or none out can lie on
+    no cycle and leave at once, so acyclic parts cost little.
+    """
+    arcs = settle(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u != v").select("u", "v").distinct(), "arcs")
+    ends = edges.select(F.col("u").alias("id")).unionByName(edges.select(F.col("v").alias("id"))).filter("id IS NOT NULL").distinct()
+    done = None
+    while True:
+        while True:  # trim
+            inner = arcs.join(arcs.select(F.col("v").alias("u")).distinct(), "u", "left_semi").join(arcs.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u", "v")
+            inner = settle(inner, "arcs")
+            if inner.count() == arcs.count():
+                break
+            arcs = inner
+        if arcs.isEmpty():
+            break
+        colour = settle(arcs.select(F.col("u").alias("id")).distinct().withColumn("c", F.col("id")), "colours")
+        while True:
+            least = arcs.join(colour, F.col("u") == F.col("id")).groupBy("v").agg(F.min("c").alias("m"))
+            step = settle(colour.join(least, F.col("id") == F.col("v"), "left").select("id", F.least("c", "m").alias("c"), (F.col("m") < F.col("c")).alias("fell")), "colours")
+            colour = step.drop("fell")
+            if not step.filter("fell").limit(1).count():
+                break
+        marked = arcs.join(colour.select(F.col("id").alias("u"), F.col("c").alias("cu")), "u").join(colour.select(F.col("id").alias("v"), F.col("c").alias("cv")), "v")
+        inside = settle(marked.filter("cu = cv").select("u", "v", "cu"), "inside")
+        # Backwards from each colour's own node, within the colour.
+        found = reached(inside.select(F.col("v").alias("u"), F.col("u").alias("v")), colour.filter("id = c").select(F.col("c").alias("start"), "id"))
+        found = found.select("id", F.col("start").alias("component"))
+        done = settle(found if done is None else done.unionByName(found), "strong")
+        gone = found.select("id")
+        arcs = settle(arcs.join(gone, F.col("u") == F.col("id"), "left_anti").join(gone, F.col("v") == F.col("id"), "left_anti"), "arcs")
+    if done is None:
+        return ends.select("id", F.col("id").alias("component"))
+    return ends.join(done, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def truncated(nodes: DataFrame, edges: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """The edges (u, v) within a box whose ends (nodes: id, lon, lat) lie in its largest strongly connected part; of equally
+    large parts the one of the smallest id."""
+    inside = nodes.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north)).select("id")
+    part = edges.join(inside, F.col("u") == F.col("id"), "left_semi").join(inside, F.col("v") == F.col("id"), "left_semi")
+    strong = settle(strong_components(part), "strong")
+    top = strong.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
+    keep = strong.join(F.broadcast(top), "component").select("id")
+    return part.join(keep, F.col("u") == F.col("id"), "left_semi").join(keep, F.col("v") == F.col("id"), "left_semi")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from waymark.operators import joins, scoring, shapes, walks
+from waymark.operators import clusters, graphs, joins, scoring, shapes, walks
 
 from .catalog import BUCKET, CELL_JOIN, LAT0, _case, listed, query
 from .geometry import LEGS
@@ -304,3 +304,23 @@ def win_lasting_runs(spark, sf_dir):
 
     runs = sequences.runs(load(spark, sf_dir, "v_sample").withColumn("m", F.col("event_id") % 200), ["user_id"], ["ts", "event_id"], "event_type", "m")
     return walks.lasting_changes(runs, "user_id", "run", "run_length").select("user_id", "run", "event_type", "run_length")
+
+
+@query()
+def gra_colocation(spark, sf_dir):
+    """GRA-08, GRA-09, AGG-06, AGG-07, AGG-08, SCL-18, SET-05: proposals of places that belong together, without those that
+    were rejected. Greedy clustering is beyond SQL; a brute-force test covers it."""
+    f = load(spark, sf_dir, "v_feature")
+    role = F.element_at(F.array(*[F.lit(x) for x in ("narrative", "provision", "station")]), (F.col("layer_no") + 1).cast("int"))
+    rows = f.select("id", "lon", "lat", "salience", role.alias("role"), F.concat_ws(" ", "key", "value").alias("title"))
+    rejected = f.select(F.array(F.col("id").cast("string"), (F.col("id") + 1).cast("string")).alias("members"))
+    return clusters.proposals(rows, LAT0, rejected).select("id", "name", "kind", F.array_join("members", ",").alias("members"), "extent_m", "tightness", "salience", "score")
+
+
+@query()
+def gra_strong_components(spark, sf_dir):
+    """GRA-02: strongly connected components of a graph of parts and suppliers, in which edges go both ways by turns; a
+    brute-force test covers it."""
+    e = load(spark, sf_dir, "v_edge").select("u", (-F.col("v")).alias("v"), "seq").distinct()
+    arcs = e.select(F.when(F.col("seq") % 2 == 0, F.col("u")).otherwise(F.col("v")).alias("u"), F.when(F.col("seq") % 2 == 0, F.col("v")).otherwise(F.col("u")).alias("v"))
+    return graphs.strong_components(arcs)
