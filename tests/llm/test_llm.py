@@ -677,3 +677,42 @@ def test_encoder_learns_pieces_together_as_alone():
     assert [ids.tolist() for _, ids in [next(encoder.encode_many([t])) for t in texts]] == want[: len(texts)]
     pieces = ["one", "\ntwo", "three's", "<|endoftext|>"]
     assert encoder._learn_plain(pieces) == encoder._learn_each(pieces)
+
+
+def odd_table(spark):
+    """Nulls in every column, repeated rows and ids, and columns named like the operators' own."""
+    rows = [(None, None, None, None, None), (None, "a b c", None, "s", 5), (3, "x y", "en", None, 3), (3, "x y", "en", None, 3), (3, "other words here", "en", "s", 9)]
+    rows += [(100 + i, t, "en", f"s{i % 2}", len(t or "")) for i, t in enumerate(odd_texts())]
+    df = spark.createDataFrame(rows, DOCS)
+    for c in ("n_tokens", "n_bytes", "start", "length", "rank", "kept", "score", "key", "copies", "size", "_size", "_id", "component_id", "high", "features", "license", "found", "lines"):
+        df = df.withColumn(c, F.lit("clash"))
+    return df
+
+
+def test_every_document_operator_on_odd_and_empty_tables(spark):
+    df = odd_table(spark)
+    n, ids = df.count(), Counter(r.doc_id for r in df.select("doc_id").collect())
+    small, labels = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet")
+    rules, weights, licences = quality_rules.fit_quality_rules(small, labels), importance.fit_importance(small, labels), licenses.fit_licenses()
+    runs = {
+        "tokens": lambda d: tokens.count_tokens(d, BPE), "rules": lambda d: quality_rules.judge(d, rules), "weights": lambda d: importance.resample(d, weights)[0],
+        "licences": lambda d: licenses.scan_licenses(d, licences), "mix": mixing.mix, "near": neardup.near_duplicates,
+    }
+    for name, run in runs.items():
+        assert Counter(r.doc_id for r in run(df).collect()) == ids, name
+        assert run(df.filter("false")).count() == 0, name
+    packed = packing.pack(df, BPE).collect()
+    assert Counter(r.doc_id for r in packed if r.start == 0) == ids and packing.pack(df.filter("false"), BPE).count() == 0
+    for keep in (lambda d: quality_rules.keep_good(d, rules), lambda d: importance.keep_sampled(d, weights), neardup.keep_first, mixing.apply_mix):
+        got = keep(df)
+        assert got.columns == df.columns and set(got.select("doc_id").distinct().toPandas()["doc_id"].fillna(-1)) <= {-1 if i is None else i for i in ids}
+        assert keep(df.filter("false")).count() == 0
+    assert sum(r.n_tokens for r in tokens.count_tokens(df.filter("text is null"), BPE).collect()) == 0 and n == len(ids) + 3
+
+
+def test_audio_of_odd_and_empty_tables(spark):
+    df = spark.createDataFrame([(None, None), (1, [0.5] * 40), (1, [0.5] * 40), (20, []), (40, [float("nan")] * 40), (60, None)], "vec_id long, embedding array<double>").withColumn("key", F.lit(1)).withColumn("code", F.lit("x"))
+    prints = audio.fingerprints(df, "vec_id", "embedding", audio.sonify)
+    rows = audio.align(prints, F.col("id") % 20 == 0).collect()
+    assert Counter(r.id for r in rows if r.kind == "member") == Counter([None, 1, 1, 20, 40, 60]) and {r.id for r in rows if r.kind == "match"} == {40}
+    assert audio.align(prints.filter("false"), F.col("id") % 20 == 0).count() == 0
