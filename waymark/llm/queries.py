@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, importance, licenses, mixing, neardup, packing, pages, quality_rules, tokens, url_filters
+from . import audio, conversations, importance, licenses, mixing, neardup, packing, pages, quality_rules, simhash, spelling, tokens, url_filters
 from .common import table
 
 
@@ -53,6 +53,18 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(docs, importance.fit_importance(docs, table(spark, sf_dir, "labels")))[0]
 
 
+def op11_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_prints(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(table(spark, sf_dir, "conversations"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -63,7 +75,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filters, op2_mixing, op3_token_counts, op4_quality_rules, op5_chroma_fingerprints, op6_html_extraction, op7_packing, op8_license_scan, op9_minhash_near_dedup, op10_quality_classifier,
-        pipeline,
+        op11_simhash_near_dedup, op12_spelling_variants, op13_conversation_repair, pipeline,
     )
 }
 ORACLE_SQL: dict[str, str] = {}
