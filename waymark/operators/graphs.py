@@ -151,3 +151,51 @@ def truncated(nodes: DataFrame, edges: DataFrame, west: float, south: float, eas
     top = strong.groupBy("component").count().orderBy(F.desc("count"), "component").limit(1).select("component")
     keep = strong.join(F.broadcast(top), "component").select("id")
     return part.join(keep, F.col("u") == F.col("id"), "left_semi").join(keep, F.col("v") == F.col("id"), "left_semi")
+
+
+def simplified(edges: DataFrame, kept: DataFrame | None = None, first: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Chains of directed edges (u, v, length_m) through nodes without a choice, each as one edge, and their members.
+
+    A node is passed through if it has just two neighbours and either one edge in and one out, or two in and two out, one to
+    and one from each neighbour; kept (id) names nodes that stay whatever their edges, such as barriers. All others end
+    chains, and so do nodes with parallel edges. A chain never turns back at a node that it passes. Rings that have no end
+    at all are left out. Null ends are no edges; a null length counts as 0.
+
+    Returns (chain, u, v, length_m, n, and as sets all different values of the columns named in first) and members (chain,
+    place, u, v, length_m): chain is a number, place counts a chain's edges from 0. Chains are ranked by pointer jumping:
+    each edge points to the one before it, and in each round looks twice as far back, so a chain of n edges takes about
+    log(n) rounds; no task walks a chain.
+    """
+    rows = edges.filter("u IS NOT NULL AND v IS NOT NULL").select("u", "v", F.coalesce(F.col("length_m").cast("double"), F.lit(0.0)).alias("length_m"), *first)
+    arcs = settle(rows.select(F.monotonically_increasing_id().alias("arc"), "*"), "arcs")
+    out, into = arcs.select(F.col("u").alias("id"), F.col("v").alias("other"), F.lit(1).alias("o")), arcs.select(F.col("v").alias("id"), F.col("u").alias("other"), F.lit(0).alias("o"))
+    ends = out.unionByName(into).groupBy("id", "other").agg(F.sum("o").alias("outs"), F.sum(1 - F.col("o")).alias("ins"))
+    degree = ends.groupBy("id").agg(F.count(F.lit(1)).alias("n"), F.sum("outs").alias("outs"), F.sum("ins").alias("ins"), F.max(F.greatest("outs", "ins")).alias("most"), F.bool_or(F.col("id") == F.col("other")).alias("loop"))
+    through = degree.filter("n = 2 AND NOT loop AND most = 1 AND outs = ins AND outs IN (1, 2)").select("id")
+    if kept is not None:
+        through = through.join(kept.select("id").filter("id IS NOT NULL").distinct(), "id", "left_anti")
+    through = settle(through, "through")
+    marked = arcs
+    for side in ("u", "v"):
+        marked = marked.join(through.select(F.col("id").alias(side), F.lit(True).alias(f"_{side}")), side, "left")
+    marked = settle(marked.select("arc", "u", "v", "length_m", *first, F.coalesce("_u", F.lit(False)).alias("from_through"), F.coalesce("_v", F.lit(False)).alias("to_through")), "arcs")
+    # What an edge out of a passed node follows: the edge into that node from the other neighbour.
+    before = marked.filter("to_through").select(F.col("arc").alias("before"), F.col("u").alias("_from"), F.col("v").alias("u"))
+    jump = marked.filter("from_through").join(before, "u").filter("_from != v").select("arc", "before")
+    state = marked.select("arc", "from_through").join(jump, "arc", "left").select("arc", F.when(F.col("from_through"), F.col("before")).alias("before"), F.when(~F.col("from_through"), F.col("arc")).alias("chain"), F.when(F.col("from_through"), 1).otherwise(0).cast("bigint").alias("place"))
+    state = settle(state, "jumps")
+    while True:
+        back = state.select(F.col("arc").alias("before"), F.col("before").alias("_b"), F.col("chain").alias("_c"), F.col("place").alias("_p"))
+        # place counts the edges between an edge and where it points; at a chain's first edge the way ends.
+        far = state.filter("chain IS NULL AND before IS NOT NULL").join(back, "before", "left")
+        step = far.select("arc", F.col("_b").alias("before"), F.col("_c").alias("chain"), (F.col("place") + F.coalesce("_p", F.lit(0))).alias("place"))
+        rest = state.filter("chain IS NOT NULL OR before IS NULL")
+        state = settle(rest.withColumn("new", F.lit(False)).unionByName(step.withColumn("new", F.col("chain").isNotNull())), "jumps")
+        if state.filter("new").isEmpty():
+            break
+        state = state.drop("new")
+    members = settle(marked.join(state.filter("chain IS NOT NULL").select("arc", "chain", "place"), "arc"), "members")
+    whole = members.groupBy("chain").agg(
+        F.min_by("u", "place").alias("u"), F.max_by("v", "place").alias("v"), F.sum("length_m").alias("length_m"), F.count(F.lit(1)).alias("n"), *[F.array_sort(F.collect_set(c)).alias(c) for c in first]
+    )
+    return whole, members.select("chain", "place", "u", "v", "length_m")

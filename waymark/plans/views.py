@@ -63,6 +63,23 @@ VIEWS = {
         FROM part CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5)) AS t(k))""",
     "v_track": """SELECT user_id AS route_id, event_id AS seq, -82.6e0 + CAST((event_id * 7919) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
         35.55e0 + CAST((event_id * 6151) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, event_type FROM events""",
+    "v_street": f"""SELECT p_partkey AS edge_id, k, -82.6e0 + CAST((p_partkey * 7919) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 + CAST(k * ((p_partkey * 31) % 61 - 30) AS DOUBLE) * 0.00006e0 AS lon,
+        35.55e0 + CAST((p_partkey * 104729) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 + CAST(k * ((p_partkey * 17) % 61 - 30) + (k % 2) * (p_partkey % 5) AS DOUBLE) * 0.00005e0 AS lat,
+        {pick("p_partkey * 3", ["State Highway 142", "CTH-B", None, "Mill Creek Rd", "Main St."])} AS name FROM part CROSS JOIN (VALUES (0), (1), (2)) AS t(k) WHERE p_partkey % 6 > 0 OR k > 0""",
+    "v_road_event": f"""SELECT c_custkey AS event_id, k, {pick("c_custkey", ["line", "point", "line", "polygon"])} AS kind, {pick("c_custkey * 7", ["WIS 142 WB", "Main", None, "County B NB"])} AS name,
+        -82.6e0 + CAST((c_custkey * 6151) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 + CASE WHEN c_custkey % 4 = 3 THEN CASE WHEN k IN (1, 2) THEN 0.002e0 ELSE 0e0 END ELSE CAST(k * ((c_custkey * 13) % 41 - 20) AS DOUBLE) * 0.00007e0 END AS lon,
+        35.55e0 + CAST((c_custkey * 3079) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 + CASE WHEN c_custkey % 4 = 3 THEN CASE WHEN k = 2 THEN 0.0015e0 ELSE 0e0 END ELSE CAST(k * ((c_custkey * 29) % 41 - 20) AS DOUBLE) * 0.00006e0 END AS lat
+        FROM customer CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(k) WHERE c_custkey % 4 = 3 OR (c_custkey % 4 = 1 AND k = 0) OR (c_custkey % 4 IN (0, 2) AND k < 2 + c_custkey % 3)""",
+    "v_road": """SELECT p_partkey AS u, p_partkey + 1 AS v, p_retailprice AS length_m, p_size % 4 AS class FROM part UNION ALL SELECT p_partkey + 1 AS u, p_partkey AS v, p_retailprice AS length_m, p_size % 4 AS class FROM part WHERE CAST(floor(p_partkey / 64e0) AS BIGINT) % 3 <> 0
+        UNION ALL SELECT p_partkey AS u, CAST(floor(p_partkey / 2e0) AS BIGINT) AS v, p_retailprice AS length_m, 7 AS class FROM part WHERE p_partkey % 64 = 0 UNION ALL SELECT CAST(floor(p_partkey / 2e0) AS BIGINT) AS u, p_partkey AS v, p_retailprice AS length_m, 7 AS class FROM part WHERE p_partkey % 64 = 0""",
+    "v_walk": f"""SELECT route_id, seq, u, v, gx, gy, lon, lat, CASE WHEN h % 2 = 0 THEN {pick("gy + 5000", ["Mill Street", None, "Oak Avenue", None, "River Path"])} ELSE {pick("gx + 5000", ["First Road", "Second Road", None])} END AS name, CASE WHEN h % 2 = 0 THEN 100000 + gy ELSE 200000 + gx END AS way_id,
+        {pick("gx + gy * 3 + 5000", ["residential", "path", "cycleway", "tertiary", None, "service"])} AS highway, {pick("CAST(floor(seq / 11e0) AS BIGINT) * 5 + seq % 3", ["asphalt", None, "gravel", "Concrete", "dirt", None, "tartan"])} AS surface, {pick("seq * 7 + route_id", [None] * 6 + ["ford=yes"] + [None] * 4 + ["barrier=gate"])} AS flag FROM
+        (SELECT route_id, seq, h, gx, gy, (gx + 5000) * 100000 + gy + 5000 AS v, lag((gx + 5000) * 100000 + gy + 5000) OVER (PARTITION BY route_id ORDER BY seq) AS u, -82.6e0 + CAST(gx AS DOUBLE) * 0.0003e0 AS lon, 35.6e0 + CAST(gy AS DOUBLE) * 0.00025e0 AS lat FROM
+        (SELECT route_id, seq, h, CAST(sum(CASE h % 4 WHEN 0 THEN 1 WHEN 2 THEN -1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gx, CAST(sum(CASE h % 4 WHEN 1 THEN 1 WHEN 3 THEN -1 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS gy FROM
+        (SELECT route_id, seq, CAST(sum(CASE m WHEN 7 THEN 1 WHEN 8 THEN 1 WHEN 9 THEN 1 WHEN 10 THEN 3 WHEN 11 THEN 3 WHEN 12 THEN 2 ELSE 0 END) OVER (PARTITION BY route_id ORDER BY seq ROWS UNBOUNDED PRECEDING) AS BIGINT) AS h FROM
+        (SELECT user_id AS route_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, (event_id * 7919 + user_id * 31) % 13 AS m FROM events )))) WHERE u IS NOT NULL""",
+    "v_place": f"""SELECT c_custkey AS id, CAST(1 + c_custkey % 40 AS BIGINT) AS route_id, {pick("c_custkey", ["poi", "rest_stop", "transition", "event", "via", "odd"])} AS kind, {pick("c_custkey * 3", ["Overlook Camp", None, "rest stop at the mill", "Point of interest", "Ferry"])} AS title,
+        CASE WHEN c_custkey % 9 = 0 THEN CAST((c_custkey * 37) % 900 AS DOUBLE) END AS along_m, -82.6e0 + CAST((c_custkey * 37) % 61 - 30 AS DOUBLE) * 0.0003e0 AS lon, 35.6e0 + CAST((c_custkey * 53) % 47 - 23 AS DOUBLE) * 0.0003e0 AS lat FROM customer""",
     "v_stop": """SELECT c_custkey AS id, c_custkey % 50 AS route_id, -82.6e0 + CAST((c_custkey * 3079) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
         35.55e0 + CAST((c_custkey * 7919) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, CAST((c_custkey * 37) % 90000 AS DOUBLE) AS at_m FROM customer""",
 }
@@ -83,4 +100,5 @@ def _bound(text: str, names: list[str]) -> str:
 
 def oracle(body: str, *views: str) -> str:
     """SQL over derived views, which stand in front of it as common table expressions."""
-    return ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in views) + " " if views else "") + body
+    own = body.startswith("WITH ")
+    return ("WITH " + ", ".join(f"{v} AS ({VIEWS[v]})" for v in views) + (", " if own else " ") + (body[5:] if own else body)) if views else body
