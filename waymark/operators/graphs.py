@@ -11,26 +11,39 @@ from pyspark.sql import functions as F
 from waymark.sources.scratch import settle
 
 
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, component) for each distinct node id: the smallest id that is reachable when edges (u, v) go both ways.
+def linked_nodes(links: DataFrame) -> DataFrame:
+    """(node, component): the smallest node reachable, for every node of links (a, b: long). Nodes without links aren't
+    listed. Null ends, links of a node with itself and repeated links change nothing.
 
-    Alternates large-star and small-star steps, so a path of n nodes takes about log(n) rounds and not n.
+    Each round points every node at its smallest neighbour and carries the links over to those; what is left of them
+    at least halves in nodes, so the rounds are few. Minima are pre-aggregated and the joins have one row per node on
+    one side, so a hub with any number of links needs no task of its own.
     """
-    pairs = edges.filter("u != v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).distinct()
-    pairs = settle(pairs, "stars")
-    while True:
-        both = pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a != b")
-        step = settle(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), "stars")
-        changed = step.join(pairs, ["a", "b"], "left_anti").limit(1).count() or pairs.join(step, ["a", "b"], "left_anti").limit(1).count()
-        pairs = step
-        if not changed:
-            break
+    edges = settle(links.filter("a is not null and b is not null and a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    labels = None
+    while not edges.isEmpty():
+        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        up = settle(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"), "up")
+        # Two steps at once: the parent of the parent, which is a node of this round as well.
+        up = up.alias("u").join(up.alias("v"), F.col("u.to") == F.col("v.node")).select(F.col("u.node").alias("node"), F.col("v.to").alias("to"))
+        up = settle(up, "up")
+        if labels is None:
+            labels = up.select("node", F.col("to").alias("component"))
+        else:
+            labels = labels.alias("l").join(up.alias("u"), F.col("l.component") == F.col("u.node"), "left").select("l.node", F.coalesce("u.to", "l.component").alias("component"))
+            labels = settle(labels, "labels")
+        left = edges.join(up.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(up.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b")
+        edges = settle(left.filter("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges")
+    if labels is None:
+        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    return labels
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, component) for each distinct node id: the smallest id that is reachable when edges (u, v) go both ways."""
+    found = linked_nodes(edges.select(F.col("u").alias("a"), F.col("v").alias("b")))
     ids = nodes.select("id").filter("id IS NOT NULL").distinct()
-    return ids.join(pairs.select(F.col("a").alias("id"), F.col("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return ids.join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
 def path_costs(edges: DataFrame, sources: DataFrame) -> DataFrame:

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from itertools import chain
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Quality by surface, traffic ceiling by road class.
@@ -112,30 +113,38 @@ def edge_features(length: Column, highway: Column, surface: Column, maxspeed: Co
     )
 
 
-def legality(mode: str, tags: dict[str, Column]) -> Column:
-    """struct (passable, reason, flags) of an edge for a mode. tags are arrays of values by key; access, the mode's own
-    key, barrier, ford and waterway are looked at. The mode's own tag beats the generic one outright; what it allows also
-    opens barriers; barriers without a word on access are only mentioned; the first rule that closes an edge names itself."""
-    key, closed, told, fords, wade, water = MODE_RULES[mode]
-    values = lambda k: F.transform(F.coalesce(tags[k], F.array().cast("array<string>")) if k in tags else F.array().cast("array<string>"), F.lower)
-    own, generic = values(key), values("access")
-    speaks = F.size(own) > 0
-    used = F.when(speaks, own).otherwise(generic)
-    name = F.when(speaks, F.lit(key)).otherwise(F.lit("access"))
-    shut = F.when(speaks, F.get(F.filter(own, lambda v: v.isin(*closed)), F.lit(0))).otherwise(F.get(F.filter(generic, lambda v: v.isin(*GENERIC_ACCESS)), F.lit(0)))
-    barrier_shut = F.exists(used, lambda v: v.isin(*{*closed, *GENERIC_ACCESS}))
-    reason = F.when(shut.isNotNull(), F.concat(name, F.lit("="), shut)).when((F.size(values("barrier")) > 0) & barrier_shut, F.concat(F.lit("barrier="), F.get(values("barrier"), F.lit(0))))
-    some = lambda k, listed: F.filter(values(k), lambda v: v.isin(*listed) if listed else F.lit(False))
-    if fords and not wade:
-        reason = F.coalesce(reason, F.concat(F.lit("ford="), F.get(some("ford", FORDS), F.lit(0))))
-    if water:
-        reason = F.coalesce(reason, F.concat(F.lit("waterway="), F.get(some("waterway", OBSTACLES), F.lit(0))))
-    mark = lambda k, a: F.transform(a, lambda v: F.concat(F.lit(f"{k}="), v))
-    empty = F.array().cast("array<string>")
-    flags = [mark(key, some(key, told)), F.when(F.size(used) == 0, mark("barrier", some("barrier", BARRIERS[mode]))).otherwise(empty)]
-    if fords and wade:
-        flags.append(mark("ford", some("ford", FORDS)))
-    return F.struct(reason.isNull().alias("passable"), reason.alias("reason"), F.when(reason.isNull(), F.array_sort(F.array_distinct(F.concat(*flags)))).otherwise(empty).alias("flags"))
+def with_legality(rows: DataFrame, tags: dict[str, Column], modes: Iterable[str] = MODE_RULES) -> DataFrame:
+    """rows with a column for each mode: struct (passable, reason, flags) of an edge for it. tags are arrays of values by key;
+    access, the mode's own key, barrier, ford and waterway are looked at. The mode's own tag beats the generic one outright;
+    what it allows also opens barriers; barriers without a word on access are only mentioned; the first rule that closes
+    an edge names itself.
+
+    Tags are lower-cased once, and each mode's tag in force, reason and flags are columns of their own: as one expression they
+    would be expanded wherever they are named.
+    """
+    none = F.array().cast("array<string>")
+    modes, names = list(modes), rows.columns
+    keys = sorted({"access", "barrier", "ford", "waterway"} | {MODE_RULES[m][0] for m in modes})
+    low = {k: F.transform(F.array_compact(tags[k]), F.lower) if k in tags else F.lit(None).cast("array<string>") for k in keys}
+    rows = rows.select("*", *[F.when(F.size(c) > 0, c).otherwise(none).alias(f"_{k}") for k, c in low.items()])
+    among = lambda k, listed: F.array_intersect(f"_{k}", F.array(*[F.lit(v) for v in listed])) if listed else none
+    first = lambda k, listed: F.get(among(k, listed), F.lit(0))
+    said = lambda k, value: F.concat(F.lit(f"{k}="), value)
+    for m in modes:
+        key, closed, _, fords, wade, water = MODE_RULES[m]
+        speaks = F.size(f"_{key}") > 0
+        opened = F.when(speaks, F.col(f"_{key}")).otherwise(F.col("_access"))
+        rows = rows.select("*", F.size(opened).alias("_used"), F.arrays_overlap(opened, F.array(*[F.lit(v) for v in sorted({*closed, *GENERIC_ACCESS})])).alias("_barred"))
+        rules = [F.when(speaks, said(key, first(key, closed))).otherwise(said("access", first("access", GENERIC_ACCESS))), F.when(F.col("_barred"), said("barrier", F.get("_barrier", F.lit(0))))]
+        rules += [said("ford", first("ford", FORDS))] if fords and not wade else []
+        rules += [said("waterway", first("waterway", OBSTACLES))] if water else []
+        rows = rows.select("*", F.coalesce(*rules).alias("_reason"))
+        told = [(key, among(key, MODE_RULES[m][2]), F.lit(True)), ("barrier", among("barrier", BARRIERS[m]), F.col("_used") == 0)] + ([("ford", among("ford", FORDS), F.lit(True))] if fords and wade else [])
+        marks = [F.when(cond & (F.size(values) > 0), F.transform(values, lambda v, k=k: F.concat(F.lit(f"{k}="), v))).otherwise(none) for k, values, cond in told if values is not none]
+        flags = F.array_sort(F.array_distinct(F.concat(*marks))) if marks else none
+        verdict = F.struct(F.col("_reason").isNull().alias("passable"), F.col("_reason").alias("reason"), F.when(F.col("_reason").isNull(), flags).otherwise(none).alias("flags"))
+        rows = rows.select("*", verdict.alias(m)).drop("_used", "_barred", "_reason")
+    return rows.select(*names, *modes)
 
 
 def author_to_solver(climbing: Column, traffic: Column, interest: Column, surface: Column) -> Column:

@@ -139,7 +139,7 @@ def win_flags_along(spark, sf_dir):
     """WIN-17: what to mention along a walk on foot, and where the hop begins."""
     rows = load(spark, sf_dir, "v_way")
     tags = {k: F.when(F.col(k).isNotNull(), F.array(k)) for k in ("access", "foot", "barrier", "ford")}
-    rows = rows.withColumn("flags", scoring.legality("hiking", tags)["flags"])
+    rows = scoring.with_legality(rows, tags, ["hiking"]).withColumn("flags", F.col("hiking.flags"))
     return walks.flagged_hops(rows, "route_id", "seq", "length_m", "flags").select("route_id", "seq", F.array_join("flags", ",").alias("flags"), F.round("along_m").alias("along_m"))
 
 
