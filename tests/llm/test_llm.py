@@ -260,15 +260,16 @@ def test_importance_against_an_independent_model(spark):
     rows, cut = importance.resample(small, model)
     got = {r.doc_id: r for r in rows.collect()}
     for i, t in zip(ids, texts, strict=True):
-        assert abs(got[i].score - sum(ratio[g] for g in grams(t))) < 1e-6 * (1 + len(t))
+        g = grams(t)
+        assert abs(got[i].score - (50 * sum(ratio[x] for x in g) / len(g) if g else -1e9)) < 1e-6
     share = np.mean([good[i] for i in ids if i in good])
     k = int(np.ceil(len(ids) * min(1.0, share + 2 * (share * (1 - share) / sum(i in good for i in ids)) ** 0.5)))
     keys = sorted((r.key for r in got.values()), reverse=True)
-    assert cut == keys[k - 1] and {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if r.key >= cut}
-    noise = np.array([r.key - r.score for r in got.values()])
+    assert cut == keys[k - 1] and {i for i, r in got.items() if r.kept} == {i for i, r in got.items() if r.key >= cut and r.score > -1e8}
+    noise = np.array([r.key - r.score for r in got.values() if r.score > -1e8])
     assert abs(noise.mean() - 0.5772) < 0.3 and abs(noise.std() - np.pi / 6**0.5) < 0.3
     plain = set(sorted(got, key=lambda i: -got[i].score)[:k])
-    assert 0 <= len(plain - {i for i, r in got.items() if r.kept}) <= 0.05 * k
+    assert 0 < len(plain - {i for i, r in got.items() if r.kept}) <= 0.05 * k  # the sample isn't the plain top k
 
 
 def test_importance_of_odd_rows(spark):
@@ -276,7 +277,7 @@ def test_importance_of_odd_rows(spark):
     model = importance.fit_importance(small, labels)
     df = docs_of(spark, odd_texts() + [r.text for r in small.collect()], extra=True).withColumn("doc_id", F.expr("nullif(doc_id, 3)"))
     got = importance.resample(df, model)[0].collect()
-    assert all(r.score == 0.0 for r in got if r.doc_id in (0, 1)) and sum(r.doc_id is None for r in got) == 1
+    assert all(not r.kept for r in got if r.doc_id in (0, 1)) and sum(r.doc_id is None for r in got) == 1
     kept = importance.keep_sampled(df, model)
     assert kept.columns == df.columns and Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in got if r.kept)
     assert importance.fit_importance(small, labels.filter("false")) is None

@@ -1,42 +1,7 @@
-"""Connected components of a table of links, by rounds of contraction."""
+"""Connected components of a table of links (a, b: long), as (node, component)."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from waymark.operators.graphs import linked_nodes as components
 
-from .common import materialize
-
-
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the smallest node reachable, for every node of links (a, b: long). Nodes without links aren't
-    listed. Null ends, links of a node with itself and repeated links change nothing.
-
-    Each round points every node at its smallest neighbour and carries the links over to those; what is left of them
-    at least halves in nodes, so the rounds are few. Minima are pre-aggregated and the joins have one row per node on
-    one side, so a hub with any number of links needs no task of its own.
-    """
-    edges = materialize(links.filter("a is not null and b is not null and a != b").select("a", "b").distinct(), "edges")
-    labels = None
-    while not edges.isEmpty():
-        both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = materialize(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("to")).withColumnRenamed("a", "node"), "up")
-        # Two steps at once: the parent of the parent, which is a node of this round as well.
-        up = up.alias("u").join(up.alias("v"), F.col("u.to") == F.col("v.node")).select(F.col("u.node").alias("node"), F.col("v.to").alias("to"))
-        up = materialize(up, "up")
-        if labels is None:
-            labels = up.select("node", F.col("to").alias("component"))
-        else:
-            labels = labels.alias("l").join(up.alias("u"), F.col("l.component") == F.col("u.node"), "left").select(
-                "l.node", F.coalesce("u.to", "l.component").alias("component")
-            )
-        labels = materialize(labels, "labels")
-        left = edges.join(up.select(F.col("node").alias("a"), F.col("to").alias("ta")), "a").join(
-            up.select(F.col("node").alias("b"), F.col("to").alias("tb")), "b"
-        )
-        edges = materialize(
-            left.filter("ta != tb").select(F.least("ta", "tb").alias("a"), F.greatest("ta", "tb").alias("b")).distinct(), "edges"
-        )
-    if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return labels
+__all__ = ["components"]

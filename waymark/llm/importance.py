@@ -19,6 +19,11 @@ SLOTS, GRAM = 1 << 16, 4
 #: The share of documents to keep is the labelled share of quality 1 and so many standard errors more, since a clean
 #: document lost is dearer than a poor one kept.
 ERRORS = 2.0
+#: N-grams that a text counts as, whatever its length. N-grams of one text overlap and repeat, so their summed log ratio says
+#: far more than they know: at full length the noise decided nothing, and length weighed more than quality.
+EVIDENCE = 50.0
+#: The log weight of a text without n-grams: none at all.
+NOTHING = -1e9
 
 
 def gram_slots(text: str | None) -> np.ndarray:
@@ -60,8 +65,12 @@ class Importance:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         """Log importance weights: the log probability of each text's n-grams under the target's model less that under
-        the raw text's. A text without n-grams has 0: both models give it probability 1."""
-        return np.array([self.ratio[gram_slots(text.as_py())].sum() for text in texts], float)
+        the raw text's, on the scale of EVIDENCE n-grams. A text without n-grams weighs nothing."""
+        slots = (gram_slots(text.as_py()) for text in texts)
+        return np.array([EVIDENCE * self.ratio[s].mean() if len(s) else NOTHING for s in slots], float)
+
+    def kept(self, keys: np.ndarray, cut: float) -> np.ndarray:
+        return (keys >= cut) & (keys > NOTHING / 2)
 
     def keys(self, ids: pa.Array, scores: np.ndarray) -> np.ndarray:
         """Gumbel keys: log weight plus noise that depends on the id alone, so that reruns agree. The documents of the k
@@ -138,7 +147,7 @@ def kth_largest(rows: DataFrame, column: str, k: int) -> float:
 def resample(docs: DataFrame, model: Importance | None) -> tuple[DataFrame, float]:
     """(doc_id, score, key and kept for each row of docs, the least key kept): Gumbel top-k with k = ceil(share * rows).
 
-    Null texts and texts shorter than an n-gram weigh 1 (score 0); null ids share one noise; keys equal to the k-th are all
+    Null texts and texts shorter than an n-gram weigh nothing and are never kept; null ids share one noise; keys equal to the k-th are all
     kept, so repeated rows are kept or rejected together; other columns aren't read. Without a model every row is kept,
     with null scores and keys.
     """
@@ -147,7 +156,7 @@ def resample(docs: DataFrame, model: Importance | None) -> tuple[DataFrame, floa
     small_batches(docs.sparkSession)
     rows = materialize(score(docs, model), "scores")
     cut = kth_largest(rows, "key", math.ceil(model.share * rows.count()))
-    return rows.withColumn("kept", F.col("key") >= F.lit(cut)), cut
+    return rows.withColumn("kept", (F.col("key") >= F.lit(cut)) & (F.col("key") > NOTHING / 2)), cut
 
 
 def keep_sampled(docs: DataFrame, model: Importance | None) -> DataFrame:
@@ -159,6 +168,6 @@ def keep_sampled(docs: DataFrame, model: Importance | None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             key = model.keys(batch.column("doc_id").cast(pa.int64()), model.scores(batch.column("text").cast(pa.string())))
-            yield batch.filter(pa.array(key >= cut))
+            yield batch.filter(pa.array(model.kept(key, cut)))
 
     return docs.mapInArrow(run, docs.schema)
