@@ -41,7 +41,8 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Forests, sampled weights and token ids are beyond SQL; the tests hold each stage against a brute-force version.
+#: Forests, sampled weights and token ids are beyond SQL. Near-dedup, mixing, packing and the classifier's models have brute-force
+#: tests of their own; the pipeline as a whole is tested for columns, counts and what its stages reject.
 ORACLE_SQL = None
 
 
