@@ -212,3 +212,103 @@ def simplified(edges: DataFrame, kept: DataFrame | None = None, first: tuple[str
         F.min_by("u", "place").alias("u"), F.max_by("v", "place").alias("v"), F.sum("length_m").alias("length_m"), F.count(F.lit(1)).alias("n"), *[F.array_sort(F.collect_set(c)).alias(c) for c in first]
     )
     return whole, members.select("chain", "place", "u", "v", "length_m")
+
+
+def complete_ways(nodes: DataFrame, way_nodes: DataFrame, members: DataFrame, west: float, south: float, east: float, north: float) -> DataFrame:
+    """(type, id) of what a cut to a box keeps: nodes (id, lon, lat) in it, ways (way_nodes: way_id, node_id) with such a node,
+    whole, so their other nodes too, and relations (members: relation_id, type, ref) with such a node or way as a member;
+    what only a relation names isn't followed. Semi joins on ids."""
+    inside = settle(nodes.filter(F.col("lon").between(west, east) & F.col("lat").between(south, north)).select("id").distinct(), "inside")
+    ways = settle(way_nodes.join(inside, F.col("node_id") == F.col("id"), "left_semi").select("way_id").distinct(), "ways")
+    back = way_nodes.join(ways, "way_id", "left_semi").select(F.col("node_id").alias("id"))
+    kept = inside.select(F.lit("node").alias("type"), F.col("id").alias("ref")).unionByName(ways.select(F.lit("way").alias("type"), F.col("way_id").alias("ref")))
+    relations = members.join(kept, ["type", "ref"], "left_semi").select("relation_id").distinct()
+    every = [("node", inside.unionByName(back).join(nodes.select("id"), "id", "left_semi").distinct(), "id"), ("way", ways, "way_id"), ("relation", relations, "relation_id")]
+    out = [d.select(F.lit(t).alias("type"), F.col(c).alias("id")) for t, d, c in every]
+    return out[0].unionByName(out[1]).unionByName(out[2])
+
+
+def longest_runs(edges: DataFrame) -> DataFrame:
+    """(component, a, b, length_m): for each component of edges (u, v, length_m; both ways) its longest shortest path as two
+    sweeps find it: a is the node farthest from the smallest one, b the node farthest from a, ties to the smaller id. All
+    components are swept at once."""
+    both = settle(edges.select("u", "v", "length_m").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "length_m")), "both")
+    parts = settle(components(both.select(F.col("u").alias("id")), both), "parts")
+
+    def farthest(starts: DataFrame, name: str) -> DataFrame:
+        reach = path_costs(both, starts.select("id")).join(parts, "id")
+        best = reach.groupBy("component").agg(F.max(F.struct("cost", (-F.col("id")).alias("n"))).alias("b"))
+        return settle(best.select("component", (-F.col("b.n")).alias("id"), F.col("b.cost").alias("cost")), name)
+
+    one = farthest(parts.filter("id = component"), "sweep")
+    two = farthest(one, "sweep")
+    return one.select("component", F.col("id").alias("a")).join(two.select("component", F.col("id").alias("b"), F.col("cost").alias("length_m")), "component")
+
+
+#: What an edge that was ridden costs again, and what it costs near a place that the author named.
+REUSE, RELIEF = 8.0, 1.25
+
+
+def circuits(edges: DataFrame, anchors: DataFrame, relief: DataFrame | None = None, reuse: float = REUSE, ease: float = RELIEF) -> DataFrame:
+    """(request, leg, place, u, v, cost): the walk of each request through its anchors (request, k, node, optional) in order, by
+    cheapest paths along directed edges (u, v, cost).
+
+    An edge that the request rode on an earlier leg, either way, costs reuse times as much, or ease times if both its ends
+    are among the request's relief (request, node). Of parallel edges the cheapest counts. An anchor equal to the one
+    before makes no leg; an optional one that can't be reached is passed over, unless it is the last; a request of which
+    another one can't be reached has no walk at all. cost is the edge's own. Ties go to fewer edges, then to smaller ids.
+
+    All requests are solved together, leg by leg: each round relaxes the nodes whose cost fell, as rows of (request, node),
+    and leaves out what costs more than the way to the anchor that is known already. Paths are read back by pointer
+    jumping. So no task holds the graph or a request's search.
+    """
+    arcs = settle(edges.filter("u IS NOT NULL AND v IS NOT NULL AND u != v AND cost >= 0").groupBy("u", "v").agg(F.min("cost").alias("w")), "arcs")
+    stops = settle(anchors.select("request", "k", "node", "optional"), "stops")
+    last = stops.groupBy("request").agg(F.max("k").alias("last"))
+    at = settle(stops.groupBy("request").agg(F.min_by("node", "k").alias("src")), "at")
+    near = settle(relief.select("request", "node").distinct(), "relief") if relief is not None else None
+    ridden, failed, walk = None, None, None
+    for k in sorted(r.k for r in stops.select("k").distinct().collect())[1:]:
+        goal = settle(stops.filter(F.col("k") == k).join(at, "request").join(last, "request").select("request", "src", F.col("node").alias("dst"), "optional", (F.col("last") == k).alias("final")), "goal")
+        todo = goal.filter("src != dst").select("request", "src", "dst")
+        known = settle(todo.select("request", F.col("src").alias("node"), F.lit(0.0).alias("cost"), F.lit(0).alias("hops"), F.lit(None).cast("long").alias("prev")), "known")
+        moved = known
+        while not moved.isEmpty():
+            out = moved.join(arcs, F.col("node") == F.col("u")).select("request", "u", "v", "cost", "hops", "w")
+            if ridden is not None:
+                out = out.withColumns({"lo": F.least("u", "v"), "hi": F.greatest("u", "v")}).join(ridden, ["request", "lo", "hi"], "left").withColumn("w", F.col("w") * F.coalesce("factor", F.lit(1.0)))
+            reach = out.groupBy("request", F.col("v").alias("node")).agg(F.min(F.struct((F.col("cost") + F.col("w")).alias("cost"), (F.col("hops") + 1).alias("hops"), F.col("u").alias("prev"))).alias("new"))
+            merged = known.join(reach, ["request", "node"], "full")
+            old = F.struct("cost", "hops", "prev")
+            fell = F.col("new").isNotNull() & (F.col("cost").isNull() | (F.col("new") < old))
+            step = settle(merged.select("request", "node", F.when(fell, F.col("new")).otherwise(old).alias("best"), fell.alias("fell")).select("request", "node", "best.*", "fell"), "known")
+            known = step.drop("fell")
+            bound = todo.join(known.withColumnRenamed("node", "dst").select("request", "dst", F.col("cost").alias("most")), ["request", "dst"]).select("request", "most")
+            moved = step.filter("fell").drop("fell").join(bound, "request", "left").filter("most IS NULL OR cost <= most").drop("most")
+        # The nodes that lie on the way: from the anchor back, twice as far in each round.
+        on = settle(known.join(todo.select("request", F.col("dst").alias("node")), ["request", "node"], "left_semi").select("request", "node"), "on")
+        back = settle(known.filter("prev IS NOT NULL").select("request", "node", "prev"), "back")
+        while True:
+            fresh = settle(on.join(back, ["request", "node"]).select("request", F.col("prev").alias("node")).distinct().join(on, ["request", "node"], "left_anti"), "on")
+            if fresh.isEmpty():
+                break
+            on = settle(on.unionByName(fresh), "on")
+            back = settle(back.join(back.select("request", F.col("node").alias("prev"), F.col("prev").alias("_p")), ["request", "prev"]).select("request", "node", F.col("_p").alias("prev")), "back")
+        leg = known.join(on, ["request", "node"]).filter("prev IS NOT NULL").select("request", F.lit(k).alias("leg"), F.col("hops").alias("place"), F.col("prev").alias("u"), F.col("node").alias("v"))
+        leg = settle(leg.join(arcs, ["u", "v"]).select("request", "leg", "place", "u", "v", F.col("w").alias("cost")), "leg")
+        walk = leg if walk is None else walk.unionByName(leg)
+        got = leg.select("request", F.lit(True).alias("got")).distinct()
+        state = settle(goal.join(got, "request", "left").withColumn("ok", F.coalesce("got", F.lit(False)) | (F.col("src") == F.col("dst"))), "state")
+        lost = state.filter("NOT ok AND (final OR NOT coalesce(optional, false))").select("request")
+        failed = settle(lost if failed is None else failed.unionByName(lost), "failed")
+        ended = at.join(state.select("request", "dst", "ok"), "request", "left").join(failed, "request", "left_anti")
+        at = settle(ended.select("request", F.when(F.col("ok"), F.col("dst")).otherwise(F.col("src")).alias("src")), "at")
+        used = walk.select("request", F.least("u", "v").alias("lo"), F.greatest("u", "v").alias("hi")).distinct().withColumn("factor", F.lit(float(reuse)))
+        if near is not None:
+            for side in ("lo", "hi"):
+                used = used.join(near.select("request", F.col("node").alias(side), F.lit(True).alias(f"_{side}")), ["request", side], "left")
+            used = used.withColumn("factor", F.when(F.col("_lo") & F.col("_hi"), float(ease)).otherwise(F.col("factor"))).drop("_lo", "_hi")
+        ridden = settle(used, "ridden")
+    if walk is None:
+        return arcs.limit(0).select(F.lit(0).cast("long").alias("request"), F.lit(0).alias("leg"), F.lit(0).alias("place"), "u", "v", F.col("w").alias("cost"))
+    return walk.join(failed, "request", "left_anti")

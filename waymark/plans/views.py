@@ -80,6 +80,7 @@ VIEWS = {
         (SELECT user_id AS route_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS seq, (event_id * 7919 + user_id * 31) % 13 AS m FROM events )))) WHERE u IS NOT NULL""",
     "v_place": f"""SELECT c_custkey AS id, CAST(1 + c_custkey % 40 AS BIGINT) AS route_id, {pick("c_custkey", ["poi", "rest_stop", "transition", "event", "via", "odd"])} AS kind, {pick("c_custkey * 3", ["Overlook Camp", None, "rest stop at the mill", "Point of interest", "Ferry"])} AS title,
         CASE WHEN c_custkey % 9 = 0 THEN CAST((c_custkey * 37) % 900 AS DOUBLE) END AS along_m, -82.6e0 + CAST((c_custkey * 37) % 61 - 30 AS DOUBLE) * 0.0003e0 AS lon, 35.6e0 + CAST((c_custkey * 53) % 47 - 23 AS DOUBLE) * 0.0003e0 AS lat FROM customer""",
+    "v_anchor": """SELECT n_nationkey AS request, k, 32 * (1 + (n_nationkey * 7 + k * k * 13 + k) % j) AS node, k = 2 AS optional FROM nation CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(k) CROSS JOIN (SELECT CAST(floor(max(p_partkey) / 32e0) AS BIGINT) AS j FROM part ) AS m""",
     "v_stop": """SELECT c_custkey AS id, c_custkey % 50 AS route_id, -82.6e0 + CAST((c_custkey * 3079) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
         35.55e0 + CAST((c_custkey * 7919) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, CAST((c_custkey * 37) % 90000 AS DOUBLE) AS at_m FROM customer""",
 }
