@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from waymark.functions import geo
-
+from waymark.sources.scratch import settle
 
 #: Rules at most that are sent to every task.
 RULES = 100_000
@@ -46,6 +46,59 @@ def nearest(left: DataFrame, right: DataFrame, radius_m: float, lat0: float) ->
     return left.select(F.col("id").alias("left_id")).join(best, "left_id", "left").select("left_id", "right_id", "distance_m")
 
 
+def box_cells(boxes: DataFrame, cell: float, west: str = "west", south: str = "south", east: str = "east", north: str = "north") -> DataFrame:
+    """boxes once for each grid cell (_level, _cx, _cy) that they touch. A box's level is chosen by its size: its cells are cell
+    wide, doubled level times, so that any box, a continent's too, touches nine at most. Boxes that are null or end before
+    they begin have no cell."""
+    some = boxes.filter((F.col(west) <= F.col(east)) & (F.col(south) <= F.col(north)))
+    span = F.greatest(F.col(east) - F.col(west), F.col(north) - F.col(south)) / cell
+    some = some.withColumn("_level", F.when(span > 1, F.ceil(F.log2(span))).otherwise(0).cast("int"))
+    size = cell * F.pow(F.lit(2.0), F.col("_level"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / size), F.floor(F.col(hi) / size)))
+    return some.withColumn("_cx", cells(west, east)).withColumn("_cy", cells(south, north))
+
+
+def levels_of(celled: DataFrame) -> list[int]:
+    """The levels that occur in box_cells: some dozens at most, whatever the boxes."""
+    return sorted(r[0] for r in celled.select("_level").distinct().collect())
+
+
+def point_cells(points: DataFrame, x: str, y: str, cell: float, levels: list[int]) -> DataFrame:
+    """points once for each of these levels, under the cell that they lie in there."""
+    rows = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in levels]).cast("array<int>")))
+    size = cell * F.pow(F.lit(2.0), F.col("_level"))
+    return rows.withColumn("_cx", F.floor(F.col(x) / size)).withColumn("_cy", F.floor(F.col(y) / size))
+
+
+CELL = ["_level", "_cx", "_cy"]
+
+
+def points_in_boxes(points: DataFrame, boxes: DataFrame, cell: float, x: str = "lon", y: str = "lat") -> DataFrame:
+    """points with the columns of each closed box (west, south, east, north) that holds them; joined on cells."""
+    listed = settle(box_cells(boxes, cell), "boxes")
+    inside = F.col(x).between(F.col("west"), F.col("east")) & F.col(y).between(F.col("south"), F.col("north"))
+    return point_cells(points, x, y, cell, levels_of(listed)).join(listed, CELL).filter(inside).drop(*CELL)
+
+
+def box_pairs(left: DataFrame, right: DataFrame, cell: float, prefix: str) -> DataFrame:
+    """Rows of left (west, south, east, north) and right (the same with a prefix) whose boxes share a cell at the coarser of
+    their two levels, each pair once. Both sides are listed at their own level and at all coarser ones that the other
+    side has, where they touch nine cells at most."""
+    sides = [[p + c for c in ("west", "south", "east", "north")] for p in ("", prefix)]
+    own = [settle(box_cells(d, cell, *names).drop("_cx", "_cy").distinct(), "boxes") for d, names in zip((left, right), sides, strict=True)]
+    every = sorted({*levels_of(own[0]), *levels_of(own[1])})
+    rows = []
+    for d, (w, s, e, n) in zip(own, sides, strict=True):
+        at = d.withColumnRenamed("_level", "_own").withColumn("_level", F.explode(F.array(*[F.lit(k) for k in every]).cast("array<int>"))).filter("_level >= _own")
+        size = cell * F.pow(F.lit(2.0), F.col("_level"))
+        low = lambda c: F.floor(F.col(c) / size)  # noqa: B023, E731
+        rows.append(at.withColumns({"_x0": low(w), "_y0": low(s)}).withColumn("_cx", F.explode(F.sequence("_x0", low(e)))).withColumn("_cy", F.explode(F.sequence("_y0", low(n)))))
+    a, b = rows[0].withColumnsRenamed({"_own": "_la", "_x0": "_xa", "_y0": "_ya"}), rows[1].withColumnsRenamed({"_own": "_lb", "_x0": "_xb", "_y0": "_yb"})
+    # At the coarser level only, and in the first cell that both touch.
+    once = (F.col("_level") == F.greatest("_la", "_lb")) & (F.col("_cx") == F.greatest("_xa", "_xb")) & (F.col("_cy") == F.greatest("_ya", "_yb"))
+    return a.join(b, CELL).filter(once).drop(*CELL, "_la", "_xa", "_ya", "_lb", "_xb", "_yb")
+
+
 def best_rule(features: DataFrame, rules: DataFrame) -> DataFrame:
     """Rules (key, value, ord, layer, weight) on features (id, key, value): an exact value beats the wildcard '*'; of
     exact rules the last wins, of wildcards the first. Features without a rule have nulls. Rules are counted, and sent to
@@ -62,17 +115,15 @@ def best_rule(features: DataFrame, rules: DataFrame) -> DataFrame:
 def covering_area(requests: DataFrame, areas: DataFrame, cell: float, max_age_days: int) -> DataFrame:
     """For each request box the smallest area that covers it and is at most max_age_days old, ties to the smaller key.
 
-    Areas are listed under every grid cell that they touch and requests under the cell of their south-west corner, so
-    the join is on cells. Requests without an area have nulls.
+    Areas are listed under the grid cells that they touch (box_cells) and requests under the cells of their south-west
+    corner, so the join is on cells. Requests without an area have nulls.
     """
-    box = F.col("age_days") <= max_age_days
-    cells = lambda lo, hi: F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell))
-    a = areas.filter(box).withColumn("cx", F.explode(cells("west", "east"))).withColumn("cy", F.explode(cells("south", "north")))
-    a = a.select("cx", "cy", "area_key", *[F.col(c).alias(f"a_{c}") for c in ("west", "south", "east", "north")])
-    r = requests.withColumn("cx", F.floor(F.col("west") / cell)).withColumn("cy", F.floor(F.col("south") / cell))
+    listed = settle(box_cells(areas.filter(F.col("age_days") <= max_age_days), cell), "areas")
+    a = listed.select(*CELL, "area_key", *[F.col(c).alias(f"a_{c}") for c in ("west", "south", "east", "north")])
+    r = point_cells(requests, "west", "south", cell, levels_of(listed))
     covers = (F.col("a_west") <= F.col("west")) & (F.col("a_south") <= F.col("south")) & (F.col("a_east") >= F.col("east")) & (F.col("a_north") >= F.col("north"))
     size = (F.col("a_east") - F.col("a_west")) * (F.col("a_north") - F.col("a_south"))
-    best = r.join(a, ["cx", "cy"]).filter(covers).groupBy("request_id").agg(F.min(F.struct(size.alias("size"), "area_key")).alias("best"))
+    best = r.join(a, CELL).filter(covers).groupBy("request_id").agg(F.min(F.struct(size.alias("size"), "area_key")).alias("best"))
     return requests.select("request_id").join(best, "request_id", "left").select("request_id", F.col("best.area_key").alias("area_key"))
 
 

@@ -157,13 +157,9 @@ def join_covering_area(spark, sf_dir):
 
 @query("SELECT b.request_id, f.id FROM v_feature f JOIN v_bbox b ON f.lon >= b.west AND f.lon <= b.east AND f.lat >= b.south AND f.lat <= b.north", "v_feature", "v_bbox")
 def flt_bbox(spark, sf_dir):
-    """Points in closed request boxes, joined on grid cells of the boxes' width."""
-    cell = 0.02
-    f = load(spark, sf_dir, "v_feature").select("id", "lon", "lat", F.floor(F.col("lon") / cell).alias("cx"), F.floor(F.col("lat") / cell).alias("cy"))
-    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / cell), F.floor(F.col(hi) / cell)))
-    b = load(spark, sf_dir, "v_bbox").withColumn("cx", cells("west", "east")).withColumn("cy", cells("south", "north"))
-    inside = F.col("lon").between(F.col("west"), F.col("east")) & F.col("lat").between(F.col("south"), F.col("north"))
-    return f.join(b, ["cx", "cy"]).filter(inside).select("request_id", "id")
+    """Points in closed request boxes, joined on grid cells as large as the boxes."""
+    f = load(spark, sf_dir, "v_feature").select("id", "lon", "lat")
+    return joins.points_in_boxes(f, load(spark, sf_dir, "v_bbox"), 0.02).select("request_id", "id")
 
 
 def listed(values) -> str:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from waymark.operators import joins
+from waymark.sources.scratch import settle
+
 from .catalog import query
 from .views import load
 
@@ -52,13 +55,11 @@ def join_dominated(spark, sf_dir):
     """JOIN-14: areas that no other one holds; of equal boxes the smallest key stays. Boxes are listed under the grid cells
     that they touch, and one that holds another is listed under that one's south-west cell."""
     a = load(spark, sf_dir, "v_area").select("area_key", "west", "south", "east", "north")
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / 0.02), F.floor(F.col(hi) / 0.02))
-    b = a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns])
-    b = b.withColumn("cx", F.explode(span("b_west", "b_east"))).withColumn("cy", F.explode(span("b_south", "b_north")))
-    own = a.withColumn("cx", F.floor(F.col("west") / 0.02)).withColumn("cy", F.floor(F.col("south") / 0.02))
+    b = settle(joins.box_cells(a.select(*[F.col(c).alias(f"b_{c}") for c in a.columns]), 0.02, "b_west", "b_south", "b_east", "b_north"), "boxes")
+    own = joins.point_cells(a, "west", "south", 0.02, joins.levels_of(b))
     holds = "b_west <= west AND b_south <= south AND b_east >= east AND b_north >= north AND b_area_key <> area_key"
     more = "(b_west < west OR b_south < south OR b_east > east OR b_north > north OR b_area_key < area_key)"
-    gone = own.join(b, ["cx", "cy"]).filter(f"{holds} AND {more}").select("area_key").distinct()
+    gone = own.join(b, joins.CELL).filter(f"{holds} AND {more}").select("area_key").distinct()
     return a.join(gone, "area_key", "left_anti").select("area_key")
 
 
@@ -68,14 +69,13 @@ def join_dominated(spark, sf_dir):
     "v_bbox", "v_area",
 )
 def join_best_overlap(spark, sf_dir):
-    """JOIN-12: the area that shares most with a request, then the smaller one."""
+    """JOIN-12: the area that shares most with a request, then the smaller one. Each side's boxes are listed under their own
+    cells and the coarser ones of the other side's levels, so boxes of all sizes meet."""
     from waymark.functions import boxes
 
-    span = lambda lo, hi: F.sequence(F.floor(F.col(lo) / 0.02), F.floor(F.col(hi) / 0.02))
-    cells = lambda d, p: d.withColumn("cx", F.explode(span(f"{p}west", f"{p}east"))).withColumn("cy", F.explode(span(f"{p}south", f"{p}north")))
     r = load(spark, sf_dir, "v_bbox")
     a = load(spark, sf_dir, "v_area").select("area_key", "bytes", *[F.col(c).alias(f"a_{c}") for c in ("west", "south", "east", "north")])
-    pairs = cells(r, "").join(cells(a, "a_"), ["cx", "cy"]).filter(boxes.intersects(boxes.box(), boxes.box("a_")))
+    pairs = joins.box_pairs(r, a, 0.02, "a_").filter(boxes.intersects(boxes.box(), boxes.box("a_")))
     shared = F.round(boxes.common_area(boxes.box(), boxes.box("a_")) * 1e9).alias("shared")
     best = pairs.groupBy("request_id").agg(F.max(F.struct(shared, (-F.col("bytes")).alias("b"), (-F.col("area_key")).alias("k"))).alias("best"))
     return r.select("request_id").join(best, "request_id", "left").select("request_id", (-F.col("best.k")).alias("area_key"))
