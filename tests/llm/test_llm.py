@@ -717,3 +717,29 @@ def test_audio_of_odd_and_empty_tables(spark):
     rows = audio.align(prints, F.col("id") % 20 == 0).collect()
     assert Counter(r.id for r in rows if r.kind == "member") == Counter([None, 1, 1, 20, 40, 60]) and {r.id for r in rows if r.kind == "match"} == {40}
     assert audio.align(prints.filter("false"), F.col("id") % 20 == 0).count() == 0
+
+
+def test_class_names_count_as_a_whole():
+    text = lambda html: pages.main_text(pages.parse(html), ())
+    for name in ("social-history", "post-notice", "comments-on-kant", "menu-of-the-day", "related-work"):
+        assert text(f'<div class="{name}"><p>Kept.</p></div>') == "Kept." and text(f'<article><div id="{name}"><p>Kept.</p></div></article>') == "Kept.", name
+    for name in ("ad", "social-links", "cookie-notice", "site-header", "x sidebar", "ad_slot-2", "page-menu", "comments"):
+        assert text(f'<div class="{name}"><p>Gone.</p></div><p>Kept.</p>') == "Kept.", name
+
+
+def test_long_and_malformed_pages_take_linear_time_and_little_memory():
+    import time
+    import tracemalloc
+
+    began = time.time()
+    page = pages.parse("<div>" * 100_000 + "</b>" * 100_000 + "text" + "</div>" * 100_000 + "<p>more")
+    assert page.lines == ("text", "more") and time.time() - began < 20
+    n = 40_000
+    a, b = tuple(f"l{k % 30_000}" for k in range(n)), tuple(f"l{(k * 7) % 30_000}" if k % 3 else f"l{k % 30_000}" for k in range(n))
+    tracemalloc.start()
+    found = pages.common_lines(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) >= n // 3 and peak < 40e6
+    it = iter(b)
+    assert all(any(x == a[k] for x in it) for k in found)  # a subsequence of b

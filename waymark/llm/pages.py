@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Collection, Iterator
 from dataclasses import dataclass
 from html import unescape
@@ -33,17 +35,35 @@ _ASIDE = frozenset("nav header footer aside form menu dialog head button fieldse
 _MAIN = frozenset(("article", "main"))
 #: Elements without content.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark what isn't main text.
+#: Words in class, id or role that mark what isn't main text, and words that may stand beside them in one name. A name with
+#: any other word, such as social-history or post-notice, says nothing; the nearest page decides on its lines.
 _SIDE_WORDS = re.compile(
-    r"(?:^|(?<=[\s_-]))(ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|replies|disqus|"
+    r"ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|header|masthead|footer|comments?|replies|disqus|"
     r"cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|signup|login|share|sharing|social|related|recommended|widget|search|toolbar|"
-    r"pagination|pager|skip-link|complementary|contentinfo|navigation)(?=$|[\s_-])",
+    r"pagination|pager|skip|complementary|contentinfo|navigation",
     re.I,
 )
+_BESIDE = frozenset(
+    "site page main top bottom left right global primary secondary sub mobile desktop sticky fixed inner outer bar box list item items wrap wrapper container block blocks area "
+    "section group links link button buttons form overlay panel column col row content slot unit policy posts articles stories icons media js has no with layout".split()
+)
 _NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+_PARTS = re.compile(r"[-_\s]+")
 _SPACE = re.compile(r"\s+")
 
 
+def _side_words(names: str) -> list[str]:
+    """The words of class names that mark what isn't main text: of those names only that consist of such words and of
+    words that may stand beside them."""
+    out = []
+    for name in names.split():
+        parts = [w for w in _PARTS.split(name) if w]
+        marks = [w for w in parts if _SIDE_WORDS.fullmatch(w)]
+        if marks and all(w in marks or w.lower() in _BESIDE or w.isdigit() for w in parts):
+            out += marks
+    return out
+
+
 @dataclass(frozen=True)
 class Page:
     """Text blocks in page order; whether each is in an element that marks main text, and whether in one that is never
@@ -67,6 +87,7 @@ def parse(html: str | None) -> Page:
     side: list[bool] = []
     text: tuple[list[str], list[str]] = ([], [])  # of the block, and of what is left out within it
     stack: list[tuple[str, int, bool]] = []  # element, within what is left out (1: by its names alone), within main text
+    opened: Counter = Counter()  # by name how often it is on the stack, so that a stray end tag isn't looked for
     out, inside = 0, False
 
     def end_block() -> None:
@@ -92,17 +113,18 @@ def parse(html: str | None) -> Page:
         elif name == "br":
             text[out > 0].append(" ")
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    del stack[k:]
-                    out, inside = stack[-1][1:] if stack else (0, False)
-                    break
+            if opened[name]:
+                while (last := stack.pop()[0]) != name:
+                    opened[last] -= 1
+                opened[name] -= 1
+                out, inside = stack[-1][1:] if stack else (0, False)
         elif name not in _VOID and not m[4].rstrip().endswith("/"):
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and stack and stack[-1][0] == name:
                 stack.pop()  # its end tag is left out
+                opened[name] -= 1
                 out, inside = stack[-1][1:] if stack else (0, False)
             named = name not in ("html", "body") and any(
-                word for a, b, c in _NAMES.findall(m[4]) for word in _SIDE_WORDS.findall(a or b or c) if not (inside and word.lower() == "header")
+                word for a, b, c in _NAMES.findall(m[4]) for word in _side_words(a or b or c) if not (inside and word.lower() == "header")
             )
             if name not in _MAIN:
                 out = max(out, 2 if name in _ASIDE and not (inside and name == "header") else int(named))
@@ -110,36 +132,69 @@ def parse(html: str | None) -> Page:
                 out = 0
             inside = inside or name in _MAIN
             stack.append((name, out, inside))
+            opened[name] += 1
     text[out > 0].append(html[at:])
     end_block()
     return Page(tuple(lines), tuple(main), tuple(side))
 
 
 def common_lines(a: tuple, b: tuple) -> list[int]:
-    """The places in a of a longest common subsequence of two lists of lines. Rows of the table are whole numbers of
-    len(a) bits, so that long pages take len(b) steps over bits and not len(a) * len(b)."""
-    where: dict[object, int] = {}
-    for i, line in enumerate(a):
-        where[line] = where.get(line, 0) | 1 << i
-    every = (1 << len(a)) - 1
-    row, rows = every, [every]
-    for line in b:
-        hit = where.get(line, 0) & row
-        row = ((row + hit) | (row - hit)) & every
-        rows.append(row)
+    """The places in a of a longest common subsequence of two lists of lines. Common beginnings and ends are cut off, and
+    lines of one side only are left out. Of what remains, rows of the table are whole numbers of len(a) bits, so that
+    long pages take len(b) steps over bits and not len(a) * len(b). Only every so many rows are kept, the square root of
+    their number, and those between are made again on the way back: 200,000 lines a side need some 40 MB."""
+    low = 0
+    while low < min(len(a), len(b)) and a[low] == b[low]:
+        low += 1
+    high = 0
+    while high < min(len(a), len(b)) - low and a[-1 - high] == b[-1 - high]:
+        high += 1
+    there, here = set(b[low : len(b) - high]), set(a[low : len(a) - high])
+    places = [i for i in range(low, len(a) - high) if a[i] in there]
+    across = [line for line in b[low : len(b) - high] if line in here]
+    where: dict[object, list[int]] = {}
+    for k, i in enumerate(places):
+        where.setdefault(a[i], []).append(k)
+    n, every = len(places), (1 << len(places)) - 1
+
+    def hits(line: object) -> int:
+        found = where[line]
+        if len(found) == 1:
+            return 1 << found[0]
+        bits = bytearray((n + 7) // 8)
+        for k in found:
+            bits[k >> 3] |= 1 << (k & 7)
+        return int.from_bytes(bits, "little")
+
+    def after(row: int, line: object) -> int:
+        hit = hits(line) & row
+        return ((row + hit) | (row - hit)) & every
+
+    step = max(1, math.isqrt(len(across)))
+    row, saved = every, [every]
+    for j, line in enumerate(across, start=1):
+        row = after(row, line)
+        if j % step == 0:
+            saved.append(row)
     # A zero bit is a place of a at which the length of the common subsequence grows.
-    out = []
-    i, j = len(a) - 1, len(b)
-    while i >= 0 and j > 0:
-        if rows[j] >> i & 1:
-            i -= 1
-        elif not rows[j - 1] >> i & 1:
-            j -= 1
-        else:
-            out.append(i)
-            i -= 1
-            j -= 1
-    return out[::-1]
+    out: list[int] = []
+    i, j = n - 1, len(across)
+    for block in range(len(across) // step if len(across) % step else len(across) // step - 1, -1, -1):
+        rows = [saved[block]]
+        for line in across[block * step : j]:
+            rows.append(after(rows[-1], line))
+        first = block * step
+        while i >= 0 and j > first:
+            if rows[j - first] >> i & 1:
+                i -= 1
+            elif not rows[j - 1 - first] >> i & 1:
+                j -= 1
+            else:
+                out.append(places[i])
+                i -= 1
+                j -= 1
+        j = min(j, first)
+    return [*range(low), *out[::-1], *range(len(a) - high, len(a))]
 
 
 def nearest(path: str, before: str | None, after: str | None) -> int:
