@@ -294,3 +294,18 @@ def test_cue_sheet_of_edges_with_a_shape(spark):
     got = sheets.cue_sheet(walk, nodes, spark.createDataFrame([(2, 3)], "id long, degree long"), 0.0).orderBy("sequence").collect()
     assert [r.kind for r in got] == ["start", "turn", "turn", "finish"] or [r.kind for r in got] == ["start", "turn", "finish"]
     assert sheets.cue_sheet(walk.filter("false"), nodes, spark.createDataFrame([(2, 3)], "id long, degree long"), 0.0).count() == 0
+
+
+def test_windows_open_at_the_first_row_that_none_holds(spark):
+    rng = random.Random(13)
+    rows = [(k, i, float(rng.randrange(400)) / 4) for k in range(4) for i in range(70)] + [(None, 1, 1.0), (2, 999, None)]
+    got = sequences.opened_windows(spark.createDataFrame(rows, "k long, i long, t double"), ["k"], ["i"], "t", 7.5, 3)
+    want = set()
+    for k in range(4):
+        opened, n = None, 0
+        for t, i in sorted((t, i) for key, i, t in rows if key == k and t is not None):
+            if opened is None or t - opened >= 7.5:
+                opened, n = t, 0
+            n += 1
+            want.add((k, i, opened, n, n <= 3))
+    assert {(r.k, r.i, r.opened, r.place, r.allowed) for r in got.collect()} == want

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.sources.scratch import settle
+
 from .geo import DEGREE_M
 
 Box = tuple[Column, Column, Column, Column]
@@ -141,3 +143,34 @@ def tile_box(x: Column, y: Column, zoom: int) -> Box:
     n = float(2**zoom)
     lat = lambda t: F.degrees(F.atan(F.sinh(F.pi() * (1 - 2 * t / n))))
     return x / n * 360 - 180, lat(y + 1), (x + 1) / n * 360 - 180, lat(y)
+
+
+#: Mean radius of the earth in kilometres.
+EARTH_KM = 6371.0088
+
+
+def area_km2(b: Box) -> Column:
+    """Area of a box on the sphere."""
+    west, south, east, north = b
+    return F.radians(east - west) * (F.sin(F.radians(north)) - F.sin(F.radians(south))) * (EARTH_KM * EARTH_KM)
+
+
+def split_to_cap(rows: DataFrame, most_km2: float) -> DataFrame:
+    """rows (west, south, east, north and others) once for each piece of their box, with depth: boxes above the cap are halved
+    along their longer side, in kilometres at their middle, until none is. A box of no area is one piece; a null side leaves
+    its row as it is. Each round halves all boxes at once, so there are as many rounds as the largest box needs halvings."""
+    wide = F.radians(F.col("east") - F.col("west")) * F.cos(F.radians((F.col("south") + F.col("north")) / 2)) >= F.radians(F.col("north") - F.col("south"))
+    open_, done = rows.withColumn("depth", F.lit(0)), None
+    while True:
+        open_ = settle(open_.withColumn("_large", F.coalesce(area_km2(box()) > most_km2, F.lit(False))), "boxes")
+        small = open_.filter("NOT _large").drop("_large")
+        done = small if done is None else done.unionByName(small)
+        large = open_.filter("_large").drop("_large")
+        if large.isEmpty():
+            return done
+        x, y = (F.col("west") + F.col("east")) / 2, (F.col("south") + F.col("north")) / 2
+        halves = large.withColumn("_wide", wide).withColumn("_h", F.explode(F.array(F.lit(0), F.lit(1)))).withColumns({"_x": x, "_y": y})
+        pick = lambda side, cut, on, h: F.when(on & (F.col("_h") == h), F.col(cut)).otherwise(F.col(side)).alias(side)
+        on = F.col("_wide")
+        names = [c for c in rows.columns if c not in ("west", "south", "east", "north")]
+        open_ = halves.select(*names, (F.col("depth") + 1).alias("depth"), pick("west", "_x", on, 1), pick("south", "_y", ~on, 1), pick("east", "_x", on, 0), pick("north", "_y", ~on, 0))

@@ -194,3 +194,37 @@ def str_arrivals(spark, sf_dir):
     walk = load(spark, sf_dir, "v_walk").select(F.col("route_id").alias("user_id"), F.col("route_id").alias("trip_id"), F.timestamp_seconds(F.col("seq")).alias("ts"), F.col("seq").cast("long").alias("seq"), "lon", "lat")
     roles = load(spark, sf_dir, "v_place").select(F.col("id").alias("role_id"), F.col("route_id").alias("trip_id"), "lon", "lat", F.lit(120.0).alias("radius_m"), (F.col("id") % 3 != 1).alias("on_arrival"))
     return arrivals.arrivals(arrivals.near_roles(walk, roles)).select("user_id", "role_id", F.unix_seconds("ts").alias("seq"))
+
+
+@query(
+    """WITH s AS (SELECT user_id, event_id, CAST((event_id * 37) % 5000 AS DOUBLE) AS t, row_number() OVER (PARTITION BY user_id ORDER BY (event_id * 37) % 5000, event_id) AS i FROM events), f AS (WITH RECURSIVE f AS (SELECT user_id, event_id, t, i, t AS opened, 1 AS place FROM s WHERE i = 1
+    UNION ALL SELECT s.user_id, s.event_id, s.t, s.i, CASE WHEN s.t - f.opened < 600e0 THEN f.opened ELSE s.t END, CASE WHEN s.t - f.opened < 600e0 THEN f.place + 1 ELSE 1 END FROM f JOIN s ON s.user_id = f.user_id AND s.i = f.i + 1) SELECT * FROM f) SELECT user_id, event_id, opened, place, place <= 8 AS allowed FROM f"""
+)
+def str_opened_windows(spark, sf_dir):
+    """STR-06: requests of a caller counted in windows that the first one opens, and those above the ceiling."""
+    from waymark.operators import sequences
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", ((F.col("event_id") * 37) % 5000).cast("double").alias("at"))
+    return sequences.opened_windows(rows, ["user_id"], ["event_id"], "at", 600.0, 8).select("user_id", "event_id", "opened", "place", "allowed")
+
+
+_KM = 6371.0088
+_AREA = f"radians(east - west) * (sin(radians(north)) - sin(radians(south))) * {_KM * _KM}e0"
+_WIDE = "radians(east - west) * cos(radians((south + north) / 2e0)) >= radians(north - south)"
+
+
+@query(
+    f"""WITH b AS (WITH RECURSIVE b AS (SELECT area_key, 0 AS depth, west, south, west + (east - west) * (1 + area_key % 40) AS east, south + (north - south) * (1 + area_key % 7) AS north FROM v_area UNION ALL SELECT area_key, depth + 1, CASE WHEN wide AND h = 1 THEN (west + east) / 2e0 ELSE west END, CASE WHEN NOT wide AND h = 1 THEN (south + north) / 2e0 ELSE south END,
+    CASE WHEN wide AND h = 0 THEN (west + east) / 2e0 ELSE east END, CASE WHEN NOT wide AND h = 0 THEN (south + north) / 2e0 ELSE north END FROM (SELECT *, {_WIDE} AS wide FROM b WHERE {_AREA} > 150e0) CROSS JOIN (VALUES (0), (1)) AS t(h)) SELECT * FROM b)
+    SELECT area_key, depth, round(west, 6) AS west, round(south, 6) AS south, round(east, 6) AS east, round(north, 6) AS north FROM b WHERE {_AREA} <= 150e0""",
+    "v_area",
+)
+def geo_capped_boxes(spark, sf_dir):
+    """GEO-23: boxes halved along their longer side until each is at most 150 square kilometres."""
+    from waymark.functions import boxes
+
+    a = load(spark, sf_dir, "v_area")
+    k = F.col("area_key")
+    rows = a.select("area_key", "west", "south", (F.col("west") + (F.col("east") - F.col("west")) * (1 + k % 40)).alias("east"), (F.col("south") + (F.col("north") - F.col("south")) * (1 + k % 7)).alias("north"))
+    out = boxes.split_to_cap(rows, 150.0)
+    return out.select("area_key", "depth", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
