@@ -130,6 +130,7 @@ def with_legality(rows: DataFrame, tags: dict[str, Column], modes: Iterable[str]
     among = lambda k, listed: F.array_intersect(f"_{k}", F.array(*[F.lit(v) for v in listed])) if listed else none
     first = lambda k, listed: F.get(among(k, listed), F.lit(0))
     said = lambda k, value: F.concat(F.lit(f"{k}="), value)
+    marked = lambda k, values: F.transform(values, lambda v: said(k, v))
     for m in modes:
         key, closed, _, fords, wade, water = MODE_RULES[m]
         speaks = F.size(f"_{key}") > 0
@@ -140,7 +141,7 @@ def with_legality(rows: DataFrame, tags: dict[str, Column], modes: Iterable[str]
         rules += [said("waterway", first("waterway", OBSTACLES))] if water else []
         rows = rows.select("*", F.coalesce(*rules).alias("_reason"))
         told = [(key, among(key, MODE_RULES[m][2]), F.lit(True)), ("barrier", among("barrier", BARRIERS[m]), F.col("_used") == 0)] + ([("ford", among("ford", FORDS), F.lit(True))] if fords and wade else [])
-        marks = [F.when(cond & (F.size(values) > 0), F.transform(values, lambda v, k=k: F.concat(F.lit(f"{k}="), v))).otherwise(none) for k, values, cond in told if values is not none]
+        marks = [F.when(cond & (F.size(values) > 0), marked(k, values)).otherwise(none) for k, values, cond in told if values is not none]
         flags = F.array_sort(F.array_distinct(F.concat(*marks))) if marks else none
         verdict = F.struct(F.col("_reason").isNull().alias("passable"), F.col("_reason").alias("reason"), F.when(F.col("_reason").isNull(), flags).otherwise(none).alias("flags"))
         rows = rows.select("*", verdict.alias(m)).drop("_used", "_barred", "_reason")
