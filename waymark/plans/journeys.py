@@ -112,9 +112,23 @@ def agg_cue_windows(spark, sf_dir):
     return cues.cues_per_window(c, c.groupBy("route_id").agg((F.max("along_m") * 0.9).alias("route_m")))
 
 
-@query()
+_RANK = f"CASE kind {' '.join(f"WHEN '{k}' THEN {r}" for k, r in cues.PRIORITY.items())} ELSE {cues.OTHER} END"
+_APART = ", ".join(f"'{k}'" for k in cues.APART)
+_JOINS = f"(s.along_m - f.along_m <= 25e0 AND s.kind NOT IN ({_APART}) AND f.kind NOT IN ({_APART}) AND NOT (s.kind = 'turn' AND f.kind = 'turn'))"
+
+
+def _stays(column: str) -> str:
+    return f"CASE WHEN {_JOINS} AND f.rank <= s.rank THEN f.{column} ELSE s.{column} END"
+
+
+@query(
+    f"""WITH s AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY along_m, rank, cue_id) AS i FROM (SELECT route_id, cue_id, kind, along_m, {_RANK} AS rank FROM v_cue)), f AS (WITH RECURSIVE f AS (SELECT route_id, i, 0 AS sequence, along_m, kind, cue_id, rank, 1 AS merged FROM s WHERE i = 1
+    UNION ALL SELECT s.route_id, s.i, CASE WHEN {_JOINS} THEN f.sequence ELSE f.sequence + 1 END, CASE WHEN {_JOINS} THEN f.along_m ELSE s.along_m END, {_stays("kind")}, {_stays("cue_id")}, {_stays("rank")}, CASE WHEN {_JOINS} THEN f.merged + 1 ELSE 1 END FROM f JOIN s ON s.route_id = f.route_id AND s.i = f.i + 1) SELECT * FROM f)
+    SELECT route_id, sequence, along_m, kind, cue_id, merged, '' AS instruction FROM (SELECT *, row_number() OVER (PARTITION BY route_id, sequence ORDER BY i DESC) AS k FROM f) WHERE k = 1""",
+    "v_cue",
+)
 def win_cue_merge(spark, sf_dir):
-    """A fold in which each merge changes what the next cue meets; a brute-force test covers it."""
+    """WIN-11: a fold in which each merge changes what the next cue meets; the SQL folds row by row."""
     return cues.merge_cues(load(spark, sf_dir, "v_cue"))
 
 
