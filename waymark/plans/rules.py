@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import functions as F
 
-from waymark.operators import documents, graphs, rules
+from waymark.operators import corridors, documents, graphs, rules, sequences
 from waymark.streaming import arrivals
 
 from .catalog import R, query
@@ -202,8 +204,6 @@ def str_arrivals(spark, sf_dir):
 )
 def str_opened_windows(spark, sf_dir):
     """STR-06: requests of a caller counted in windows that the first one opens, and those above the ceiling."""
-    from waymark.operators import sequences
-
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", ((F.col("event_id") * 37) % 5000).cast("double").alias("at"))
     return sequences.opened_windows(rows, ["user_id"], ["event_id"], "at", 600.0, 8).select("user_id", "event_id", "opened", "place", "allowed")
 
@@ -228,3 +228,33 @@ def geo_capped_boxes(spark, sf_dir):
     rows = a.select("area_key", "west", "south", (F.col("west") + (F.col("east") - F.col("west")) * (1 + k % 40)).alias("east"), (F.col("south") + (F.col("north") - F.col("south")) * (1 + k % 7)).alias("north"))
     out = boxes.split_to_cap(rows, 150.0)
     return out.select("area_key", "depth", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+_LEG = "radians(greatest(f.east, l.east) - least(f.west, l.west)) * (sin(radians(greatest(f.north, l.north))) - sin(radians(least(f.south, l.south))))"
+
+
+@query(
+    f"""WITH p AS (SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY seq) AS i, lon, lat, degrees(asin({math.sin(0.2 / _KM)!r} / cos(radians(lat)))) AS x, {math.degrees(0.2 / _KM)!r} AS y FROM v_walk),
+    l AS (SELECT a.route_id, a.i, least(a.lon - a.x, b.lon - b.x) AS west, least(a.lat - a.y, b.lat - b.y) AS south, greatest(a.lon + a.x, b.lon + b.x) AS east, greatest(a.lat + a.y, b.lat + b.y) AS north FROM p a JOIN p b ON b.route_id = a.route_id AND b.i = a.i + 1),
+    f AS (WITH RECURSIVE f AS (SELECT route_id, i, i AS first, west, south, east, north FROM l WHERE i = 1 UNION ALL SELECT route_id, i, CASE WHEN fits THEN first ELSE i END, CASE WHEN fits THEN least(fw, west) ELSE west END, CASE WHEN fits THEN least(fs, south) ELSE south END, CASE WHEN fits THEN greatest(fe, east) ELSE east END, CASE WHEN fits THEN greatest(fn, north) ELSE north END FROM
+    (SELECT l.*, f.first, f.west AS fw, f.south AS fs, f.east AS fe, f.north AS fn, {_LEG} * {_KM * _KM}e0 <= 0.45e0 AS fits FROM f JOIN l ON l.route_id = f.route_id AND l.i = f.i + 1)) SELECT * FROM f)
+    SELECT route_id, row_number() OVER (PARTITION BY route_id ORDER BY first) AS tile, first, max(i) + 1 AS last, round(min(west), 6) AS west, round(min(south), 6) AS south, round(max(east), 6) AS east, round(max(north), 6) AS north FROM f GROUP BY route_id, first""",
+    "v_walk",
+)
+def geo_corridor_tiles(spark, sf_dir):
+    """GEO-23: walks covered with 200 m around them by boxes of at most 0.45 square kilometres, as many legs to a box as fit;
+    the SQL folds leg by leg."""
+    rows = load(spark, sf_dir, "v_walk").select("route_id", "seq", "lon", "lat")
+    out = corridors.tiles(rows, ["route_id"], ["seq"], 0.2, 0.45)
+    return out.select("route_id", "tile", "first", "last", *[F.round(c, 6).alias(c) for c in ("west", "south", "east", "north")])
+
+
+@query(
+    """SELECT user_id, event_id, count(*) AS spent, greatest(3 - count(*), 0) AS remaining, CASE WHEN count(*) >= 3 THEN list_extract(list(c ORDER BY c DESC), 3) + 86400000000 END AS free_at FROM
+    (SELECT a.user_id, a.event_id, epoch_us(b.ts) AS c FROM events a JOIN events b ON b.user_id = a.user_id AND b.ts <= a.ts AND b.ts > a.ts - INTERVAL 24 HOUR) GROUP BY user_id, event_id"""
+)
+def str_call_ledger(spark, sf_dir):
+    """STR-08: calls of each caller in the 24 hours up to each call, what is left of a ceiling of 3, and when one more may be
+    made; the SQL compares all pairs."""
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"))
+    return sequences.rolling_ledger(rows, ["user_id"], "at", 86_400_000_000, 3).select("user_id", "event_id", "spent", "remaining", "free_at")
