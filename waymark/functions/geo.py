@@ -11,10 +11,10 @@ DEGREE_M = 111_320.0
 
 
 def haversine_m(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Great-circle distance; the root is clamped to 1, so antipodes give a number."""
+    """Great-circle distance; the root is clamped to 1, so antipodes give a number; null if a place is."""
     a, b = F.radians(lat1), F.radians(lat2)
     h = F.pow(F.sin((b - a) / 2), F.lit(2.0)) + F.cos(a) * F.cos(b) * F.pow(F.sin(F.radians(lon2 - lon1) / 2), F.lit(2.0))
-    return 2 * F.lit(EARTH_M) * F.asin(F.least(F.lit(1.0), F.sqrt(h)))
+    return 2 * F.lit(EARTH_M) * F.asin(F.when(h > 1, F.lit(1.0)).otherwise(F.sqrt(h)))
 
 
 def local_xy(lon: Column, lat: Column, lat0: Column) -> tuple[Column, Column]:

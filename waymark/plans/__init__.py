@@ -1,3 +1,3 @@
 """Derived views and the catalogue of queries."""
 
-from . import catalog, geometry, journeys, records, routes, rules, sheets  # noqa: F401
+from . import catalog, geometry, journeys, records, routes, rules, sheets, trips  # noqa: F401

@@ -83,6 +83,17 @@ VIEWS = {
     "v_anchor": """SELECT n_nationkey AS request, k, 32 * (1 + (n_nationkey * 7 + k * k * 13 + k) % j) AS node, k = 2 AS optional FROM nation CROSS JOIN (VALUES (0), (1), (2), (3)) AS t(k) CROSS JOIN (SELECT CAST(floor(max(p_partkey) / 32e0) AS BIGINT) AS j FROM part ) AS m""",
     "v_stop": """SELECT c_custkey AS id, c_custkey % 50 AS route_id, -82.6e0 + CAST((c_custkey * 3079) % 10007 AS DOUBLE) / 10007e0 * 0.1e0 AS lon,
         35.55e0 + CAST((c_custkey * 7919) % 10009 AS DOUBLE) / 10009e0 * 0.1e0 AS lat, CAST((c_custkey * 37) % 90000 AS DOUBLE) AS at_m FROM customer""",
+    "v_leg": f"""SELECT l_orderkey AS day_id, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey AS leg_id, l_linenumber AS seq, {pick("l_partkey", MODES)} AS mode,
+        CASE WHEN l_partkey % 17 > 0 THEN CAST(round(l_extendedprice * 100e0) AS BIGINT) END AS distance, CAST(l_quantity AS BIGINT) * 10 AS climb,
+        -82.6e0 + CAST((l_suppkey * 7919) % 1009 AS DOUBLE) / 1009e0 * 0.02e0 AS start_lon, 35.55e0 + CAST((l_suppkey * 131) % 997 AS DOUBLE) / 997e0 * 0.02e0 AS start_lat,
+        CASE WHEN l_partkey % 19 > 0 THEN -82.6e0 + CAST((l_partkey * 6151) % 1009 AS DOUBLE) / 1009e0 * 0.02e0 END AS end_lon, 35.55e0 + CAST((l_partkey * 173) % 997 AS DOUBLE) / 997e0 * 0.02e0 AS end_lat FROM lineitem""",
+    "v_link": f"""SELECT day_id, leg_id AS link_id, leg_id AS from_leg, CASE WHEN leg_id % 11 = 0 THEN leg_id WHEN leg_id % 13 = 0 THEN 0 ELSE next_leg END AS to_leg, {pick("leg_id", ["cycling", None, None])} AS from_mode, CAST(NULL AS STRING) AS to_mode FROM
+        (SELECT l_orderkey AS day_id, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey AS leg_id, lead(CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey) AS next_leg FROM lineitem ) WHERE next_leg IS NOT NULL""",
+    "v_leg_node": f"""SELECT l_orderkey AS day_id, CAST(l_linenumber AS BIGINT) * 10000000000 + CAST(l_partkey AS BIGINT) * 10000 + l_suppkey AS leg_id, k, CASE WHEN (l_suppkey + k) % 4 > 0 THEN CAST((l_partkey * (k + 3)) % 97 AS DOUBLE) END AS along_m, {pick("l_partkey + k * k", ["rising", "resolution", None])} AS stage
+        FROM lineitem CROSS JOIN (VALUES (0), (1), (2)) AS t(k) WHERE (l_partkey + k) % 3 > 0""",
+    "v_day": """SELECT o_custkey AS trip_id, o_orderkey AS day_id, (o_orderkey * 7) % 31 AS index, CASE WHEN o_orderkey % 9 = 0 THEN 'rest' ELSE 'route' END AS kind FROM orders""",
+    "v_trip_band": """SELECT c_custkey AS trip_id, mode, low, CASE WHEN c_custkey % 7 > 0 THEN high END AS high FROM customer CROSS JOIN (VALUES ('hiking', 3000000, 6000000), ('cycling', 4000000, 8000000), ('paddling', 2000000, 5000000)) AS t(mode, low, high) WHERE c_custkey % 3 > 0""",
+    "v_day_band": """SELECT o_orderkey AS day_id, 'cycling' AS mode, 1000000 AS low, CAST(NULL AS INT) AS high FROM orders WHERE o_orderkey % 4 = 0""",
 }
 
 
