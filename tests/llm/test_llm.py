@@ -645,6 +645,19 @@ def test_audio_recall_against_brute_force(spark, sounds, frequent, monkeypatch):
     assert len(others) > 30 and len(want & got) >= 0.9 * len(want) and len(got - want) <= 0.02 * len(got)
 
 
+def test_audio_matches_depend_on_no_other_rows(spark, sounds, monkeypatch):
+    """Whether codes count as frequent, as they do in larger tables, changes nothing."""
+    matches = lambda df: sorted(tuple(r) for r in audio.align(df, F.col("id") % 20 == 0).collect() if r.kind == "match")
+    all_at_once = matches(sounds)
+    assert len(all_at_once) > 60
+    for frequent in (60, 7):
+        monkeypatch.setattr(audio, "FREQUENT", frequent)
+        assert matches(sounds) == all_at_once
+    some = sounds.filter("id % 3 < 2")
+    kept = {r.id for r in some.select("id").collect()}
+    assert matches(some) == [m for m in all_at_once if m[1] in kept and m[2] in kept]
+
+
 def test_the_pipeline_runs_and_keeps_its_columns(spark):
     import corpus_pipeline
 

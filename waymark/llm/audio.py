@@ -24,8 +24,11 @@ DOUBTS = 5
 #: Share of differing bits around a code in common from which it is held to be chance. Only each filter's first bit, which
 #: noise changes less than the second, is compared, at up to NEAR places on either side, STEP frames from one to the next.
 RIM, NEAR, STEP = 0.33, 8, 5
-#: A code that stands in more places of the index is looked up together with the first bits of the next two places.
+#: A code that stands in more places of the index is dealt out in parts of about so many, each joined with each part of
+#: the places that look it up. No pair is lost by it.
 FREQUENT = 4096
+#: Parts of one code at most; of codes in over a hundred million places they grow.
+PARTS = 1 << 15
 #: So many frequent codes are sent to every task; with more, they are joined.
 LISTED = 1 << 20
 #: Frames that one filter spans, and the steps between its values' four levels.
@@ -141,8 +144,8 @@ def align(prints: DataFrame, is_query, bit_errors: float = BIT_ERRORS, overlap:
 
     Classes are joined on single codes, a query's also with up to two doubtful bits flipped; each code in common votes for
     an offset, and every pair's best offset is verified by its bit errors. Codes that very many recordings have, as
-    silence has, are joined together with later ones. Rows without codes are members of a class without matches. Null
-    ids are members only.
+    silence has, are joined in parts, so whether a query and a class match depends on nothing but these two. Rows without
+    codes are members of a class without matches. Null ids are members only.
     """
     rows = materialize(prints.withColumn("class", F.md5(F.concat_ws(",", F.col("codes").cast("array<string>")))), "prints")
     classes = rows.groupBy("class").agg(F.min("id").alias("class_id"), F.first("codes").alias("codes"), F.min_by("doubts", "id").alias("doubts"))
@@ -173,13 +176,17 @@ def align(prints: DataFrame, is_query, bit_errors: float = BIT_ERRORS, overlap:
         return F.transform(F.concat(F.array(F.lit(0)), bits, two), lambda b: code.bitwiseXOR(b))
 
     index = posts(some, "class_id", "j", "y").drop("doubt")
-    frequent = materialize(index.groupBy("code").count().filter(F.col("count") > FREQUENT).select("code", F.lit(True).alias("frequent")), "frequent")
+    parts = F.least(F.ceil(F.col("count") / FREQUENT), F.lit(PARTS)).cast("int").alias("parts")
+    frequent = materialize(index.groupBy("code").count().filter(F.col("count") > FREQUENT).select("code", parts), "frequent")
     few = frequent.count() <= LISTED
 
-    def keyed(df: DataFrame, mark: str) -> DataFrame:
-        later = F.col(f"rim{NEAR // 4}_{mark}").bitwiseAND(F.lit(0xFFFFFFFF))
-        key = F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.when(F.col("frequent"), F.call_function("shiftleft", later, F.lit(32))).otherwise(F.lit(0)))
-        return df.join(F.broadcast(frequent) if few else frequent, "code", "left").withColumn("key", key).drop("code", "frequent")
+    def keyed(df: DataFrame, own: list[str], mine: int, other: int) -> DataFrame:
+        """A row of a frequent code goes to one part of its own side, by hash, and to every part of the other one."""
+        dealt = df.join(F.broadcast(frequent) if few else frequent, "code", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        key = F.col("code").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+        key = key.bitwiseOR(F.shiftleft(F.pmod(F.xxhash64(*own), F.col("parts")), mine)).bitwiseOR(F.shiftleft(F.col("other").cast("long"), other))
+        return dealt.withColumn("key", key).drop("code", "parts", "other")
 
     probes = posts(heads, "asked", "i", "x").withColumn("code", F.explode(flipped(F.col("code"), F.col("doubt")))).drop("doubt")
     # A code in common counts if less than RIM of the first bits around it differ, of the places that both recordings have
@@ -193,7 +200,7 @@ def align(prints: DataFrame, is_query, bit_errors: float = BIT_ERRORS, overlap:
         wrong = wrong + F.bit_count(F.col(f"rim{k}_x").bitwiseXOR(F.col(f"rim{k}_y")).bitwiseAND(F.get(masks, places)))
         bits = bits + 16 * places
     enough = (before + after + 1 >= overlap) | (F.col("asked") == F.col("class_id"))
-    votes = keyed(probes, "x").join(keyed(index, "y"), "key").filter(enough & (wrong <= bits * RIM))
+    votes = keyed(probes, ["asked", "i"], 32, 48).join(keyed(index, ["class_id", "j"], 48, 32), "key").filter(enough & (wrong <= bits * RIM))
     votes = votes.groupBy("asked", "class_id", (F.col("i") - F.col("j")).alias("offset")).count()
     best = votes.groupBy("asked", "class_id").agg(F.max(F.struct("count", (-F.abs("offset")).alias("near"), "offset")).alias("best"))
     pairs = best.select("asked", "class_id", F.col("best.offset").alias("offset"), F.col("best.count").alias("votes"))
