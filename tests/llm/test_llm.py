@@ -693,6 +693,20 @@ def test_encoder_learns_pieces_together_as_alone():
     assert encoder._learn_plain(pieces) == encoder._learn_each(pieces)
 
 
+def test_marks_behind_words_are_encoded_apart():
+    encoder = tokens.Encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
+    given, plain = [], encoder._learn_plain
+    encoder._learn_plain = lambda pieces: given.extend(pieces) or plain(pieces)
+    words = ["it's.", "x'", "x'.", "don't!", "²", "a²", "日本", "日本語a", "a_b", "_", "ß", "ª", "ŀ", "e\u0301", "a.b", "'s", "<|endoftext|>", "x<|endoftext|>", "endoftext|>", "'", "queen", "\nqueen", "\n", "\n\n", "12", "Ⅷ", "İ"]
+    text = "first " + " ".join(w + m for w in words for m in ("", ".", ",", "###", "!!", "_", "|>", "?'", "\u3002", "…", "-1"))
+    assert encoder.encode(text).tolist() == encoder.library.encode(text, add_special_tokens=False).ids
+    lines = "first queen?\nqueen!!\nqueen queen"
+    assert encoder.encode(lines).tolist() == encoder.library.encode(lines, add_special_tokens=False).ids
+    assert given.count("queen") >= 1 and given.count("\nqueen") == 1 and not {"queen.", "queen,", "queen###", "queen_", "queen?", "\nqueen!!"} & set(given)
+    for content, single, good in (("<|endoftext|>", False, True), ("##", False, True), ("word.", False, False), ("word", True, False), ("<x>", True, False)):
+        assert tokens.tailed({"added_tokens": [{"content": content, "single_word": single}]}) is good
+
+
 def odd_table(spark):
     """Nulls in every column, repeated rows and ids, and columns named like the operators' own."""
     rows = [(None, None, None, None, None), (None, "a b c", None, "s", 5), (3, "x y", "en", None, 3), (3, "x y", "en", None, 3), (3, "other words here", "en", "s", 9)]

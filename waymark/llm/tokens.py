@@ -33,6 +33,8 @@ STOP = re.compile(r"(?<=[^\W\d_])(?=[\u3001\u3002\uff01\uff0c\uff1a\uff1b\uff1f]
 RUN = re.compile(r"\s\s")
 #: A piece with no white space but a line feed before it.
 PLAIN = re.compile(r"\n?\S+")
+#: Marks that always begin a new word after a letter, up to the last letter that every library's Unicode tables have.
+MARKS, LETTERS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~", "\u024f"
 #: A space and a line feed as byte-level vocabularies write them.
 SPACE, FEED = "\u0120", "\u010a"
 
@@ -75,7 +77,8 @@ class Encoder:
         self.library.no_truncation()
         self.library.no_padding()
         with open(path, encoding="utf-8") as file:
-            self.cuts = cuttable(json.load(file))
+            settings = json.load(file)
+        self.cuts, self.tails = cuttable(settings), tailed(settings)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         vocabulary = self.library.get_vocab(with_added_tokens=True)
@@ -94,12 +97,29 @@ class Encoder:
         return out
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """The ids of pieces."""
-        out, plain, other, size = {}, [], [], 0
+        """The ids of pieces. Letters with marks behind them are two words, of which the first is often known."""
+        out, tails, plain, other, size = {}, [], {}, [], 0
         for piece in pieces:
-            if not PLAIN.fullmatch(piece):
-                other.append(piece)
+            if piece.isalpha():
+                plain[piece] = None
                 continue
+            stem = piece.rstrip(MARKS) if self.tails else piece
+            if "" != stem != piece and stem[-1] <= LETTERS and (stem[1:] if stem[0] == "\n" else stem).isalpha():
+                tails.append((piece, stem, piece[len(stem) :]))
+            elif PLAIN.fullmatch(piece):
+                plain[piece] = None
+            else:
+                other.append(piece)
+        known, young, old = {}, self.young.get, self.old.get
+        for _, stem, _ in tails:
+            if stem not in plain and stem not in known:
+                ids = young(stem) or old(stem)
+                if ids is None:
+                    plain[stem] = None
+                else:
+                    known[stem] = ids
+        words, plain = plain, []
+        for piece in words:
             plain.append(piece)
             size += len(piece) + 1
             if size >= CALL:
@@ -107,6 +127,10 @@ class Encoder:
                 plain, size = [], 0
         out.update(self._learn_plain(plain))
         out.update(self._learn_each(other))
+        marks = list({tail for _, _, tail in tails})
+        ends = dict(zip(marks, self._library(marks), strict=True))
+        known.update((stem, out[stem]) for _, stem, _ in tails if stem not in known)
+        out.update((piece, known[stem] + ends[tail]) for piece, stem, tail in tails)
         return out
 
     def _learn_plain(self, pieces: list[str]) -> dict[str, bytes]:
@@ -114,10 +138,11 @@ class Encoder:
         space before a piece is that piece's first. If these don't tally, each piece is encoded alone."""
         text = "".join([p if p[0] == "\n" else " " + p for p in pieces])
         ids = self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids
-        starts = np.flatnonzero(self.opens[ids]) if ids else np.zeros(0, np.int64)
+        found = ids_bytes(ids)
+        starts = np.flatnonzero(self.opens[np.frombuffer(found, "<u4")])
         if len(starts) != len(pieces) or starts[:1].any():
             return self._learn_each(pieces)
-        found, ends = ids_bytes(ids), (4 * starts).tolist() + [4 * len(ids)]
+        ends = (4 * starts).tolist() + [len(found)]
         return {p: found[i:j] for p, i, j in zip(pieces, ends, ends[1:], strict=False)}
 
     def _learn_each(self, pieces: list[str]) -> dict[str, bytes]:
@@ -154,7 +179,7 @@ class Encoder:
         codes = table.indices.to_numpy(zero_copy_only=False).copy()
         # A text's first piece has no space before it, so it is an entry of its own.
         first = words.take(pa.array(heads)).dictionary_encode()
-        pieces, n = table.dictionary.to_pylist(), len(table.dictionary)
+        pieces, n = table.dictionary.to_numpy(zero_copy_only=False).tolist(), len(table.dictionary)
         codes[heads] = n + first.indices.to_numpy(zero_copy_only=False)
         counts = np.bincount(codes, minlength=n + len(first.dictionary))[:n]
         found, used = [b""] * n, np.flatnonzero(counts)
@@ -200,6 +225,11 @@ def cuttable(settings: dict) -> bool:
     return bool(plain and settings.get("normalizer") is None and not any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in settings.get("added_tokens", ())))
 
 
+def tailed(settings: dict) -> bool:
+    """Whether no added token lies across the end of a word's letters or depends on what stands beside it."""
+    return not any(t.get("single_word") or t["content"].rstrip(MARKS).isalpha() for t in settings.get("added_tokens", ()))
+
+
 def ids_bytes(ids: list[int]) -> bytes:
     got = array("I", ids)
     if sys.byteorder == "big":
