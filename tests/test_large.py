@@ -45,3 +45,17 @@ def test_rounded_distances_are_compared(spark):
     left, right = spark.createDataFrame([(1, 0.0, 0.0)], POINT), spark.createDataFrame([(2, 0.0, 100.004 * METRE), (3, 0.0, 100.006 * METRE)], POINT)
     assert [tuple(r) for r in joins.within_distance(left, right, 100.0, 35.6, 2).collect()] == [(1, 2, 100.0)]
     assert not joins.within_distance(left, right, 100.0, 35.6).collect()
+
+
+def test_nearest_widens_and_ties_go_to_the_smaller_id(spark):
+    left, right = some_points(2, 200) + [(900, -82.59, 35.7)], [(i + 1000, x, y) for i, x, y in some_points(3, 150)]
+    right += [(i - 500, x, y) for i, x, y in right[:20]]
+    far = {i: (d, r) for i, x, y in left for d, r in [min([(gap((i, x, y), q), q[0]) for q in right if None not in q] if None not in (x, y) else [(1e9, None)])]}
+    for radius in (300.0, 7.0):
+        out = joins.nearest(spark.createDataFrame(left, POINT), spark.createDataFrame(right, POINT), radius, 35.6, 2)
+        assert {r.left_id: (r.distance_m, r.right_id) for r in out.collect()} == {i: b if b[0] <= radius else (None, None) for i, b in far.items()}
+        assert "Broadcast" not in plan_of(out)
+    # Nearer by less than half of the last digit doesn't count.
+    a, b = spark.createDataFrame([(1, 0.0, 0.0)], POINT), spark.createDataFrame([(8, 0.0, 10.001 * METRE), (7, 0.0, 10.002 * METRE)], POINT)
+    assert [tuple(r) for r in joins.nearest(a, b, 300.0, 35.6, 2).collect()] == [(1, 7, 10.0)]
+    assert [tuple(r) for r in joins.nearest(a, spark.createDataFrame([], POINT), 300.0, 35.6).collect()] == [(1, None, None)]
