@@ -59,3 +59,13 @@ def test_nearest_widens_and_ties_go_to_the_smaller_id(spark):
     a, b = spark.createDataFrame([(1, 0.0, 0.0)], POINT), spark.createDataFrame([(8, 0.0, 10.001 * METRE), (7, 0.0, 10.002 * METRE)], POINT)
     assert [tuple(r) for r in joins.nearest(a, b, 300.0, 35.6, 2).collect()] == [(1, 7, 10.0)]
     assert [tuple(r) for r in joins.nearest(a, spark.createDataFrame([], POINT), 300.0, 35.6).collect()] == [(1, None, None)]
+
+
+def test_a_crowd_isnt_compared_with_all_of_its_radius(spark, monkeypatch):
+    """Of 900 features with as many nodes within the radius, each meets few."""
+    made, plain = [], joins._plane_pairs
+    monkeypatch.setattr(joins, "_plane_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    points = spark.createDataFrame([(i, -82.6 + (i % 30) * 1e-4, 35.6 + (i // 30) * 1e-4) for i in range(900)], POINT)
+    other = points.select("id", (F.col("lon") + 2e-5).alias("lon"), "lat")
+    assert joins.nearest(points, other, 300.0, 35.6, 2).filter("left_id = right_id").count() == 900
+    assert sum(d.count() for d in made) < 20_000
