@@ -69,3 +69,23 @@ def test_a_crowd_isnt_compared_with_all_of_its_radius(spark, monkeypatch):
     other = points.select("id", (F.col("lon") + 2e-5).alias("lon"), "lat")
     assert joins.nearest(points, other, 300.0, 35.6, 2).filter("left_id = right_id").count() == 900
     assert sum(d.count() for d in made) < 20_000
+
+
+def same_as_sql(spark, folder, name, **tables):
+    """A query's rows are its SQL's over these tables, each given by a SELECT."""
+    con = duckdb.connect()
+    for t, text in tables.items():
+        con.execute(f"COPY ({text}) TO '{folder}/{t}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+    got, cur = catalog.QUERIES[name](spark, str(folder)), con.execute(catalog.ORACLE_SQL[name])
+    names = [d[0] for d in cur.description]
+    want = sorted(cur.fetchall(), key=str)
+    assert sorted(map(tuple, got.select(*names).collect()), key=str) == want and want
+
+
+@pytest.mark.parametrize("name", ["geo_clip_legs"])
+def test_legs_along_a_side_of_the_box(spark, tmp_path, name):
+    """Events whose ids differ by 10007 have one longitude, those by 10009 one latitude: also beyond the box the SQL keeps them."""
+    ids = "(VALUES (1), (10008), (20000), (30009), (30010), (40019), (50028), (9000), (19009), (29016)) AS v(i)"
+    events = f"SELECT (i + 137 * u)::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, u::BIGINT AS user_id, 'a' AS event_type, 1e0 AS value, '' AS props FROM {ids} CROSS JOIN range(60) AS w(u)"
+    same_as_sql(spark, tmp_path, name, events=events)
