@@ -83,7 +83,7 @@ def same_as_sql(spark, folder, name, **tables):
     assert sorted(map(tuple, got.select(*names).collect()), key=str) == want and want
 
 
-@pytest.mark.parametrize("name", ["geo_clip_legs", "geo_midpoints"])
+@pytest.mark.parametrize("name", ["geo_clip_legs", "win_line_pieces", "geo_midpoints"])
 def test_legs_along_a_side_of_the_box(spark, tmp_path, name):
     """Events whose ids differ by 10007 have one longitude, those by 10009 one latitude: also beyond the box the SQL keeps them."""
     ids = "(VALUES (1), (10008), (20000), (30009), (30010), (40019), (50028), (9000), (19009), (29016)) AS v(i)"
