@@ -89,3 +89,11 @@ def test_legs_along_a_side_of_the_box(spark, tmp_path, name):
     ids = "(VALUES (1), (10008), (20000), (30009), (30010), (40019), (50028), (9000), (19009), (29016)) AS v(i)"
     events = f"SELECT (i + 137 * u)::BIGINT AS event_id, TIMESTAMP '2024-01-01' AS ts, u::BIGINT AS user_id, 'a' AS event_type, 1e0 AS value, '' AS props FROM {ids} CROSS JOIN range(60) AS w(u)"
     same_as_sql(spark, tmp_path, name, events=events)
+
+
+def test_costs_near_a_half_are_summed_as_in_the_sql(spark):
+    profile = {"quiet": 0.9, "scenic": 0.9, "peaks": -0.7, "interest": 0.5, "directness": 0.2}
+    rows = [(1375.0, 0.02, 0.0, 1930), (1218.75, 0.02, 0.05, 1696), (10625.0, 0.06, 0.08, 15903)]
+    df = spark.createDataFrame(rows, "length double, grade double, salience double, want long")
+    cost = scoring.edge_cost(F.col("length"), F.lit(0.55), F.lit(True), F.lit(0.4), F.col("grade"), F.col("salience"), profile)
+    assert [(r.got, r.want) for r in df.select(F.round(cost).cast("long").alias("got"), "want").collect()] == [(w, w) for *_, w in rows]

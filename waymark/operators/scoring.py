@@ -58,11 +58,12 @@ def edge_cost(length: Column, stress: Column, scenic_hit: Column, bucket_weight:
     """Cost of an edge for a profile (quiet, scenic, peaks, interest, directness): its length times a factor of 0.05 at
     least. Null bucket weights and saliences leave their term out."""
     g = F.least(F.coalesce(grade, F.lit(0.0)), F.lit(0.12)) / 0.12
-    p = (
-        1 + profile["quiet"] * stress * 2.0 - F.when(scenic_hit, F.lit(profile["scenic"] * 0.35)).otherwise(0.0)
+    # The terms are summed before 1 comes in: 1 + (p - 1) would lose their last digits, and costs on a half would be rounded otherwise.
+    terms = (
+        profile["quiet"] * stress * 2.0 - F.when(scenic_hit, F.lit(profile["scenic"] * 0.35)).otherwise(0.0)
         - F.coalesce(bucket_weight, F.lit(0.0)) * 0.6 - profile["peaks"] * g * 0.6 - profile["interest"] * F.coalesce(salience, F.lit(0.0)) * 0.6
     )
-    p = 1 + (p - 1) * (1 - profile["directness"])
+    p = 1 + terms * (1 - profile["directness"])
     return length * F.greatest(p, F.lit(0.05))
 
 
