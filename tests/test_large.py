@@ -97,3 +97,9 @@ def test_costs_near_a_half_are_summed_as_in_the_sql(spark):
     df = spark.createDataFrame(rows, "length double, grade double, salience double, want long")
     cost = scoring.edge_cost(F.col("length"), F.lit(0.55), F.lit(True), F.lit(0.4), F.col("grade"), F.col("salience"), profile)
     assert [(r.got, r.want) for r in df.select(F.round(cost).cast("long").alias("got"), "want").collect()] == [(w, w) for *_, w in rows]
+
+
+def test_counts_within_a_radius_are_of_rounded_distances(spark, tmp_path):
+    """The node of part 74 and the feature of part 19614 lie 250.0018 m apart, which the SQL rounds to 250."""
+    part = "SELECT i::BIGINT AS p_partkey, 'a' AS p_name, 'b' AS p_brand, 'c' AS p_type, 5 AS p_size, 10e0 AS p_retailprice FROM (VALUES (74), (19614)) AS t(i)"
+    same_as_sql(spark, tmp_path, "join_radius_counts", part=part)
