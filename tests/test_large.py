@@ -103,3 +103,19 @@ def test_counts_within_a_radius_are_of_rounded_distances(spark, tmp_path):
     """The node of part 74 and the feature of part 19614 lie 250.0018 m apart, which the SQL rounds to 250."""
     part = "SELECT i::BIGINT AS p_partkey, 'a' AS p_name, 'b' AS p_brand, 'c' AS p_type, 5 AS p_size, 10e0 AS p_retailprice FROM (VALUES (74), (19614)) AS t(i)"
     same_as_sql(spark, tmp_path, "join_radius_counts", part=part)
+
+
+def test_biased_nearest(spark, monkeypatch):
+    """Against all pairs; in a crowd each place meets few of the others."""
+    made, plain = [], joins._plane_pairs
+    monkeypatch.setattr(joins, "_plane_pairs", lambda *a: made.append(plain(*a)) or made[-1])
+    left, right = some_points(4, 120) + [(900, -82.59, 35.7)], [(i + 1000, x, y, float(i * 37 % 90)) for i, x, y in some_points(5, 900)]
+    want = set()
+    for p in left:
+        near = [(gap(p, q), q[3], q[0]) for q in right if None not in p and None not in q and gap(p, q) <= 300]
+        low, high = min((e for _, e, _ in near), default=0), max((e for _, e, _ in near), default=0)
+        lift = lambda e: 0.8 * (e - low) / (high - low) if high > low else 0.0  # noqa: B023, E731
+        want |= {(p[0], -b[1]) for b in [max(((round(lift(e) - 0.5 * d / 300, 6), -i) for d, e, i in near), default=None)] if b}
+    out = joins.biased_nearest(spark.createDataFrame(left, POINT), spark.createDataFrame(right, POINT + ", e double"), "e", 300.0, 35.6, 0.8, 0.5, 2)
+    assert {tuple(r) for r in out.collect()} == want and len(want) > 100 and "Broadcast" not in plan_of(out)
+    assert sum(d.count() for d in made[2:]) < 60_000
