@@ -119,3 +119,10 @@ def test_biased_nearest(spark, monkeypatch):
     out = joins.biased_nearest(spark.createDataFrame(left, POINT), spark.createDataFrame(right, POINT + ", e double"), "e", 300.0, 35.6, 0.8, 0.5, 2)
     assert {tuple(r) for r in out.collect()} == want and len(want) > 100 and "Broadcast" not in plan_of(out)
     assert sum(d.count() for d in made[2:]) < 60_000
+
+
+def test_greatest_within(spark):
+    left, right = [(i, x, y, float(i * 7 % 50)) for i, x, y in some_points(6, 200)], some_points(7, 200)
+    out = joins.greatest_within(spark.createDataFrame(left, POINT + ", s double"), spark.createDataFrame(right, POINT), "s", 40.0, 35.6)
+    near = {q[0]: [p[3] for p in left if None not in p and gap(p, q) <= 40.0] for q in right if None not in q}
+    assert {tuple(r) for r in out.collect()} == {(i, max(s)) for i, s in near.items() if s} and "Broadcast" not in plan_of(out)
