@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import joins, scoring
+from waymark.operators import clusters, joins, scoring
 from waymark.plans import catalog
 
 POINT = "id long, lon double, lat double"
@@ -126,3 +126,19 @@ def test_greatest_within(spark):
     out = joins.greatest_within(spark.createDataFrame(left, POINT + ", s double"), spark.createDataFrame(right, POINT), "s", 40.0, 35.6)
     near = {q[0]: [p[3] for p in left if None not in p and gap(p, q) <= 40.0] for q in right if None not in q}
     assert {tuple(r) for r in out.collect()} == {(i, max(s)) for i, s in near.items() if s} and "Broadcast" not in plan_of(out)
+
+
+def test_linked_points_are_the_components_of_all_pairs(spark):
+    rng = random.Random(8)
+    middles = [(rng.uniform(0, 0.05), rng.uniform(0, 0.05)) for _ in range(40)]
+    points = [(i, -82.6 + m[0] + rng.gauss(0, 0.0004), 35.6 + m[1] + rng.gauss(0, 0.0004)) for i in range(500) for m in [middles[rng.randrange(40)]]] + [(500, -82.7, 35.6)]
+    parent = {p[0]: p[0] for p in points}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    near = {i for p in points for q in points if p[0] < q[0] and gap(p, q) <= 160 for i in (p[0], q[0], *([parent.update({max(root(p[0]), root(q[0])): min(root(p[0]), root(q[0]))})] and []))}
+    got = {r.id: r.component for r in clusters.linked_points(spark.createDataFrame(points, POINT), 35.6, 160.0).collect()}
+    assert got == {i: root(i) for i in near} and 5 < len(set(got.values())) < 60 and 500 not in near
