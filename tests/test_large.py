@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.operators import clusters, joins, scoring
+from waymark.operators import clusters, joins, matching, scoring
 from waymark.plans import catalog
 
 POINT = "id long, lon double, lat double"
@@ -142,3 +142,13 @@ def test_linked_points_are_the_components_of_all_pairs(spark):
     near = {i for p in points for q in points if p[0] < q[0] and gap(p, q) <= 160 for i in (p[0], q[0], *([parent.update({max(root(p[0]), root(q[0])): min(root(p[0]), root(q[0]))})] and []))}
     got = {r.id: r.component for r in clusters.linked_points(spark.createDataFrame(points, POINT), 35.6, 160.0).collect()}
     assert got == {i: root(i) for i in near} and 5 < len(set(got.values())) < 60 and 500 not in near
+
+
+def test_far_legs_are_left_out_before_lines_are_grouped(spark):
+    """Grouping pairs that don't match shuffled them all."""
+    leg = lambda key, y: spark.createDataFrame([(i, 0, 10.0 * i, y, 10.0 * i + 300.0, y + 5.0) for i in range(20)], f"{key} long, k long, x double, y double, x2 double, y2 double")
+    out = matching.close_lines(leg("event_id", 0.0), leg("edge_id", 31.0), "event_id", "edge_id", 30.0)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Aggregate") < plan.index("Filter ((distance_m") and "Filter" not in plan[: plan.index("Aggregate")]
+    rows = out.collect()
+    assert rows and all(26 < r.distance_m <= 30 for r in rows)
